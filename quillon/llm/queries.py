@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, neardup, packing, quality, secrets, sharding, toxicity, urls
+from quillon.llm import decontaminate, neardup, packing, pitman_yor, quality, secrets, sharding, suffix, toxicity, urls
 from quillon.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -42,6 +46,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,5 +71,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_url_filter, op4_decontaminate, op5_secrets, op7_quality, op8_toxicity, op9_near_duplicates, op10_sharding,
+    op1_packing, op2_suffix_dedup, op3_url_filter, op4_decontaminate, op5_secrets, op6_lm_scores, op7_quality, op8_toxicity, op9_near_duplicates, op10_sharding,
 )}
