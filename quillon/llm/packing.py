@@ -12,7 +12,10 @@ null ids and extra columns are kept.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -25,9 +28,58 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, parts
 
-#: Words whose ids a worker keeps; then it starts anew.
-CACHED_WORDS = 400_000
-_encoders: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: Words whose ids a worker keeps, twice: the newer ones, and those before them.
+CACHED_WORDS = 250_000
+
+#: Words of these characters, whose lower case and normal form are plain, go to the model without the tokenizer's own passes.
+_PLAIN = re.compile("[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F]+")
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u012F]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u012F]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies: itself if printable, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = (256 + k for k in range(256))
+    return {b: chr(b if b in shown else next(free)) for b in range(256)}
+
+
+class _Words(dict):
+    """Ids (little-endian, 32 bits) by word. A word is found out when asked for; the newest are kept."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.before = self.tokenizer.model, _byte_letters(), {}
+        self.alike = self._alike()
+
+    def _alike(self) -> bool:
+        """Whether the short way gives the tokenizer's own ids; if this isn't so for its kind, it isn't taken."""
+        words = ["Don't", "it's", "\u00c9t\u00e9,", "a1b22", "W\u00f6rter-buch...", "'re", "x", "!!", "\u0111\u012e_9"]
+        return all(self._short(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in words)
+
+    def _short(self, word: str) -> list[int]:
+        out = []
+        for part in _PART.findall(word.lower()):
+            shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            out += [t.id for t in self.model.tokenize(shown)]
+        return out
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            short = self.alike and "<|" not in text and _PLAIN.fullmatch(text)
+            ids = array("I", self._short(text) if short else self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHED_WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+_encoders: dict[str, _Words] = {}
 
 
 def ids_of(path: str, texts: list[bytes | None], end: int) -> Iterator[bytes]:
@@ -36,28 +88,11 @@ def ids_of(path: str, texts: list[bytes | None], end: int) -> Iterator[bytes]:
     The tokenizer drops white space and joins nothing across it, so words are encoded once and
     remembered.
     """
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _encoders[path]
-    last = np.uint32(end).astype("<u4").tobytes()
+        _encoders[path] = _Words(path)
+    of, last = _encoders[path].__getitem__, array("I", [end]).tobytes()
     for text in texts:
-        words = (text or b"").split()
-        try:
-            ids = b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            ids = b"".join(map(known.__getitem__, words))
-        yield ids + last
+        yield b"".join(map(of, (text or b"").split())) + last
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
