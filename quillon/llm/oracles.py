@@ -24,7 +24,7 @@ select page_id, host, path, rule, case
   when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
   when {method} then 'block' else 'allow' end as verdict
 from r
-""".format(method=" or ".join(f"regexp_matches(host, '{r.pattern.replace('[^ ]', '.')}')" for r in urls.PATTERNS))
+""".format(method=" or ".join(f"regexp_matches(host, '{r.pattern.replace(chr(92) + '0', ' ')}')" for r in urls.PATTERNS))
 
 OP4 = rf"""
 with d as (

@@ -27,7 +27,7 @@ TOKEN = re.compile("[a-z0-9]+")
 
 @dataclass(frozen=True)
 class Rule:
-    """verdict for hosts under domain with a path that starts with path; or, with a pattern, for 'host path' strings it is found in."""
+    """verdict for hosts under domain with a path that starts with path; or, with a pattern, for what it is found in: host, NUL, path."""
 
     verdict: str
     domain: str = ""
@@ -51,7 +51,7 @@ class Rule:
     def regex(self) -> re.Pattern[str]:
         if self.pattern:
             return re.compile(self.pattern)
-        return re.compile(rf"(?:[^ ]*\.)?{re.escape(self.domain)} {re.escape(self.path)}")
+        return re.compile(rf"(?:[^\0]*\.)?{re.escape(self.domain)}\0{re.escape(self.path)}")
 
 
 RULES = (
@@ -64,12 +64,12 @@ RULES = (
 
 #: What the method adds: common kinds of unwanted hosts.
 PATTERNS = (
-    Rule("block", pattern=r"^[^ ]*\bcasino\b", literals=("casino",)),
-    Rule("block", pattern=r"^[^ ]*\bpills\b", literals=("pills",)),
-    Rule("block", pattern=r"^[^ ]*\bfree-bets\b", literals=("free", "bets")),
-    Rule("block", pattern=r"^[^ ]*\bads-track\b", literals=("ads", "track")),
-    Rule("block", pattern=r"^[^ ]*\bspam-farm\b", literals=("spam", "farm")),
-    Rule("block", pattern=r"^[^ ]*\b(?:xxx|porn)\b"),
+    Rule("block", pattern=r"^[^\0]*\bcasino\b", literals=("casino",)),
+    Rule("block", pattern=r"^[^\0]*\bpills\b", literals=("pills",)),
+    Rule("block", pattern=r"^[^\0]*\bfree-bets\b", literals=("free", "bets")),
+    Rule("block", pattern=r"^[^\0]*\bads-track\b", literals=("ads", "track")),
+    Rule("block", pattern=r"^[^\0]*\bspam-farm\b", literals=("spam", "farm")),
+    Rule("block", pattern=r"^[^\0]*\b(?:xxx|porn)\b"),
 )
 
 
@@ -106,7 +106,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = (*RULES, *PATTERNS), defau
         for hosts, paths in parts:
             out = []
             for h, p in zip(hosts, paths, strict=True):
-                both = f"{h} {p}"
+                both = f"{h}\0{p}"
                 tokens = {"", *TOKEN.findall(both.translate(str.maketrans(UPPER, LOWER)))}
                 fits = [r for t in tokens for r in filed.get(t, ()) if (compiled[r].search if r.pattern else compiled[r].match)(both)] if h else []
                 best = max((r for r in fits if not r.pattern), key=lambda r: (len(r.name), -order[r]), default=None)
