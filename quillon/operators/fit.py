@@ -28,6 +28,7 @@ class Fitted:
     rows: DataFrame  # row_id, y, mu, s
     trace: optimise.Trace
     config: FitConfig
+    history: list[np.ndarray] | None = None  # unconstrained globals of each evaluation, if kept
 
     def ard_ranking(self, spark) -> DataFrame:
         """Latent dimensions by relevance."""
@@ -38,6 +39,8 @@ class Fitted:
         tables.save_params(spark, self.params, f"{path}/params", d=self.stats.d, stats=_flat(self.stats).tolist())
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")
         self.trace.frame(spark).write.mode("overwrite").parquet(f"{path}/metrics")
+        if self.history:
+            spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(self.history)], "evaluation int, raw array<double>").write.mode("overwrite").parquet(f"{path}/history")
 
 
 def load(spark, path: str, config: FitConfig = FitConfig()) -> Fitted:
@@ -86,7 +89,7 @@ def fit(rows: DataFrame, config: FitConfig = FitConfig(), start: Params | None =
     p = start or Params(initialise.inducing(base, config.inducing, config.seed), 1.0, np.ones(q), 1.0)
     m = p.m
     shards = sorted(r[0] for r in base.select("shard").distinct().collect()) if config.drop_out else []
-    state, calls = None, [0]
+    state, calls, history = None, [0], []
     if free:
         raw = F.transform("s", lambda v: F.log(F.expm1(v)))
         extra = ["shard"] * bool(shards)
@@ -99,6 +102,8 @@ def fit(rows: DataFrame, config: FitConfig = FitConfig(), start: Params | None =
 
     def objective(x: np.ndarray, local: optimise.Latents | None, step: float) -> tuple[float, np.ndarray]:
         p = Params.from_raw(x, m, q)
+        if config.keep_history:
+            history.append(x.copy())
         now = at(step) if free else base
         share, use = 1.0, now
         if shards:
@@ -119,7 +124,7 @@ def fit(rows: DataFrame, config: FitConfig = FitConfig(), start: Params | None =
     trace = run(objective, p.raw(), state, iterations=config.iterations, **tol, **more)
     p = Params.from_raw(trace.x, m, q)
     rows = tables.written(at(0.0).select("row_id", "y", "mu", "s")) if free else base.select("row_id", "y", "mu", "s")
-    return Fitted(p, accumulate(rows, p, d, True, free), rows, trace, config)
+    return Fitted(p, accumulate(rows, p, d, True, free), rows, trace, config, history)
 
 
 def _embed(y: np.ndarray, mu: np.ndarray, s: np.ndarray, model_p: Params, stats: Stats, iterations: int) -> tuple[np.ndarray, np.ndarray, float]:

@@ -26,10 +26,11 @@ def test_free_latents(spark, curve, kind):
 
 def test_fixed_latents_save_and_load(spark, curve, tmp_path):
     given = initialise.pca(curve, 3, 1)
-    model = fits.fit(given, FitConfig(inducing=4, latent=1, iterations=8, fixed_embeddings=True, fixed_beta=True))
+    model = fits.fit(given, FitConfig(inducing=4, latent=1, iterations=8, fixed_embeddings=True, fixed_beta=True, keep_history=True))
     assert model.params.beta == pytest.approx(1.0)
     assert model.trace.f < accepted(model.trace)[0]
     model.save(str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "history")).count() == len(model.trace.rows)
     again = fits.load(spark, str(tmp_path))
     assert again.params.z == pytest.approx(model.params.z)
     assert again.stats.psi2 == pytest.approx(model.stats.psi2)
