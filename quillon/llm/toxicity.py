@@ -8,7 +8,8 @@ The document's evidence is the sum of its clauses'; a logistic curve makes it a
 
 Insults are learned: words and stems whose share among toxic documents exceeds that among clean ones, weighted
 by the log odds, from a bounded sample of labelled rows (at most FIT_ROWS of either label, by the hash of
-their id). The other word lists are fixed. Without labels, a small fixed list serves.
+their id). Near copies count once, else each word of a document with many copies would look telling; copies
+are told by the least hash of their shingles. The other word lists are fixed. Without labels, a small fixed list serves.
 
 Null and empty texts have no evidence. Ids that labels contradict are not learned from.
 """
@@ -25,6 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import materialize
+from quillon.llm.neardup import shingles
+
 #: Labelled rows of either label that fitting reads at most.
 FIT_ROWS = 6000
 #: Learned words and stems at most: the strongest.
@@ -112,14 +116,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
             return [*words, *{w[:n] + "-" for w in words for n in STEMS if len(w) > n}]
         return texts.map(of)
 
-    # Executors keep a candidate only if it can still matter; the driver gets the lexicon alone.
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    @F.pandas_udf("long")
+    def copy(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: int(s[0] >> np.uint64(1)) if len(s := shingles((t or "").encode(), 5)) else 0)
+
+    rows = materialize(rows.withColumn("copy", copy("text")), "labelled")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("copy").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return Grammar(dict.fromkeys(INSULTS, 4.0), {})
-    seen = rows.select("toxic", F.explode(terms("text")).alias("term")).groupBy("term").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    # Executors keep a term only if it can matter; the driver gets the lexicon alone.
+    once = rows.select("toxic", "copy", F.explode(terms("text")).alias("term")).distinct()
+    seen = once.groupBy("term").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (bad + 1)) - F.log((F.col("q") + 0.5) / (good + 1))
-    best = seen.where(F.col("p") >= 4).withColumn("odds", odds).where((F.col("odds") >= 2.5) & (F.col("p") >= 4 * F.col("q"))).orderBy(F.desc(F.col("odds") * F.sqrt("p")), "term").limit(LEXICON)
+    best = seen.where(F.col("p") >= max(4, bad / 150)).withColumn("odds", odds).where((F.col("odds") >= 2.5) & (F.col("p") >= F.col("q"))).orderBy(F.desc(F.col("odds") * F.sqrt("p")), "term").limit(LEXICON)
     words, stems = {}, {}
     for r in best.collect():
         (stems if r["term"].endswith("-") else words)[r["term"].rstrip("-")] = min(r["odds"], 6.0)
@@ -135,13 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and offset by Newton's method, classes weighted alike."""
+    """Slope and offset by Newton's method."""
     design, beta = np.c_[x, np.ones_like(x)], np.zeros(2)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())) * len(y)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (weight * (p - y)) + ridge * beta
-        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), grad)
+        grad = design.T @ (p - y) + ridge * beta
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), grad)
         beta = beta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
