@@ -61,4 +61,4 @@ def parts(spark: SparkSession) -> int:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it has at most that many rows; else left to a shuffled join."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).collect()) <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
