@@ -25,14 +25,14 @@ SCHEMA = "chunk string, n_bytes bigint, data binary, ids binary, sizes binary"
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A table of SCHEMA; ids and sizes are 64-bit. Null text counts as empty."""
+    """A table of SCHEMA; ids and sizes are 64-bit, data is compressed, as it is shuffled more than once. Null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         texts, ids, total = [], [], 0
 
         def row() -> pa.RecordBatch:
-            values = [uuid.uuid4().hex], [total], [b"".join(texts)], [np.array(ids, np.int64).tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()]
+            values = [uuid.uuid4().hex], [total], [packed(b"".join(texts))], [np.array(ids, np.int64).tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "n_bytes", "data", "ids", "sizes"])
 
         for batch in batches:
@@ -49,6 +49,21 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return materialize(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA), "chunks")
 
 
+def packed(data: bytes | np.ndarray) -> bytes:
+    return pa.compress(data if isinstance(data, bytes) else data.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type, n: int) -> np.ndarray:
+    """n numbers of a kind."""
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+
+
+def opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, ids and sizes of a chunk."""
+    cell = lambda c: batch.column(c)[i].as_py()
+    return unpacked(cell("data"), np.uint8, cell("n_bytes")), np.frombuffer(cell("ids"), np.int64), np.frombuffer(cell("sizes"), np.int64)
+
+
 def buckets(total: int, per: int) -> int:
     """A power of two: so many buckets that each gets `per` of total."""
     return 1 << max(4, int(np.ceil(np.log2(max(1, total / per)))))
@@ -66,7 +81,13 @@ def record(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """chunks with `said`: an array of the answers' structs."""
+#: Most bytes of answers that are broadcast, so that the texts needn't be shuffled for them.
+BROADCAST_BYTES = 32 << 20
+
+
+def answered(chunks: DataFrame, answers: DataFrame, size: str | None = None) -> DataFrame:
+    """chunks with `said`: an array of the answers' structs. size: the column of a table of answers whose bytes decide whether they are broadcast."""
     said = answers.groupBy("chunk").agg(F.collect_list(F.struct(*(c for c in answers.columns if c != "chunk"))).alias("said"))
+    if size and (answers.agg(F.sum(F.octet_length(size) + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        said = F.broadcast(said)
     return chunks.join(said, "chunk", "left")

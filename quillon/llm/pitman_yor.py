@@ -73,9 +73,10 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _texts(batch: pa.RecordBatch, i: int) -> tuple[list[bytes], list[int]]:
-    data, sizes = batch.column("data")[i].as_py(), np.frombuffer(batch.column("sizes")[i].as_py(), np.int64)
+    raw, ids, sizes = C.opened(batch, i)
+    data = raw.tobytes()
     stop = np.cumsum(sizes)
-    return [data[a:b] for a, b in zip((stop - sizes).tolist(), stop.tolist(), strict=True)], np.frombuffer(batch.column("ids")[i].as_py(), np.int64).tolist()
+    return [data[a:b] for a, b in zip((stop - sizes).tolist(), stop.tolist(), strict=True)], ids.tolist()
 
 
 @dataclass
@@ -163,11 +164,6 @@ class Bucket:
 
 _STATE = "bucket bigint, words bigint, known bigint, word binary, class binary, count binary, customers array<double>"
 _ASK = pa.schema([("bucket", pa.int64()), ("chunk", pa.string()), ("hashes", pa.binary()), ("per", pa.binary()), ("class", pa.binary()), ("count", pa.binary())])
-_zip = lambda a: pa.compress(a.tobytes(), "zstd", asbytes=True)
-
-
-def _unzip(data: bytes, kind: type, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
 def _bucket(row: dict) -> Bucket:
@@ -190,7 +186,7 @@ def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str
                 for b, s in C.split(c.words, n):
                     a, z = np.searchsorted(word, [s.start, s.stop])
                     per = np.bincount(word[a:z] - s.start, minlength=s.stop - s.start).astype(np.uint8)
-                    for name, x in (("bucket", b), ("chunk", batch.column("chunk")[i].as_py()), ("hashes", c.words[s].tobytes()), ("per", per.tobytes()), ("class", (c.pairs[a:z] % CLASSES).astype(np.uint8).tobytes()), ("count", _zip(learned[a:z]))):
+                    for name, x in (("bucket", b), ("chunk", batch.column("chunk")[i].as_py()), ("hashes", c.words[s].tobytes()), ("per", per.tobytes()), ("class", (c.pairs[a:z] % CLASSES).astype(np.uint8).tobytes()), ("count", C.packed(learned[a:z]))):
                         out[name].append(x)
                 yield C.record(out, _ASK)
 
@@ -201,7 +197,7 @@ def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str
         words, which = np.unique(np.concatenate(hashes), return_inverse=True)
         classes = [np.frombuffer(r["class"], np.uint8) for r in rows]
         key = np.repeat(which, np.concatenate([np.frombuffer(r["per"], np.uint8) for r in rows])) * CLASSES + np.concatenate(classes)
-        count = np.concatenate([_unzip(r["count"], np.uint32, len(k)) for r, k in zip(rows, classes, strict=True)])
+        count = np.concatenate([C.unpacked(r["count"], np.uint32, len(k)) for r, k in zip(rows, classes, strict=True)])
         pairs, index = np.unique(key, return_inverse=True)
         sums = np.bincount(index, weights=count, minlength=len(pairs)).astype(np.int64)
         word, kind = (pairs // CLASSES).astype(np.uint32), (pairs % CLASSES).astype(np.uint8)
@@ -249,7 +245,7 @@ def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str
                 index = [np.frombuffer(x["index"], np.uint32) for x in row["asked"]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x["chunk"] for x in row["asked"]], pa.string()), pa.array([row["bucket"]] * len(index), pa.int64()), pa.array([len(x) for x in index], pa.int64()),
-                    pa.array([_zip(logs[x]) for x in index], pa.binary()), pa.array([_zip(seen[x]) for x in index], pa.binary()),
+                    pa.array([C.packed(logs[x]) for x in index], pa.binary()), pa.array([C.packed(seen[x]) for x in index], pa.binary()),
                 ], names=["chunk", "bucket", "n", "logs", "seen"])
 
     answers = state.select("bucket", "words", "word", "class", "count", "asked").mapInArrow(answer, "chunk string, bucket bigint, n bigint, logs binary, seen binary")
@@ -260,8 +256,8 @@ def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str
             for i in range(batch.num_rows):
                 c = Chunk.read(batch, i, m.folds)
                 said = sorted(batch.column("said")[i].as_py(), key=lambda x: x["bucket"])
-                logs = np.concatenate([_unzip(x["logs"], np.float32, x["n"]) for x in said]).astype(float)[c.pair]
-                seen = np.concatenate([_unzip(x["seen"], np.int64, x["n"]) for x in said])[c.pair]
+                logs = np.concatenate([C.unpacked(x["logs"], np.float32, x["n"]) for x in said]).astype(float)[c.pair]
+                seen = np.concatenate([C.unpacked(x["seen"], np.int64, x["n"]) for x in said])[c.pair]
                 first = np.concatenate(([0], c.last[:-1]))
                 size = c.last - first
                 base = np.log10((seen + 0.1) / (trained + 0.1 * (vocabulary + 1)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import chunks as C
-from quillon.llm.common import drop_table, materialize
+from quillon.llm.common import materialize
 
 
 @dataclass(frozen=True)
@@ -65,12 +65,18 @@ def _waves(slots: np.ndarray, heads: np.ndarray, text: np.ndarray, takes: np.nda
             step = max(1024, step // 2)
         if len(before):
             key = text[before]
-            order = np.argsort(key, kind="stable")
+            order = key.argsort(kind="stable")
             key, before = key[order], before[order]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            count = np.diff(first, append=len(key))
-            slots[np.arange(len(key)) - np.repeat(first, count) + np.repeat(heads[key[first]], count)] = before
-            heads[key[first]] += count
+            new = np.empty(len(key), bool)
+            new[0] = True
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            first = new.nonzero()[0]
+            letter = key[first]
+            place = heads[key]
+            place += np.arange(len(key))
+            place -= first[new.cumsum() - 1]
+            slots[place] = before
+            heads[letter] += np.append(first[1:], len(key)) - first
 
 
 def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
@@ -158,6 +164,19 @@ def common_prefix_reaches(data: np.ndarray, places: np.ndarray, other: np.ndarra
 
 def least_of_classes(contexts: np.ndarray, least: np.ndarray, p: Repeats) -> np.ndarray:
     """contexts: rows of p.context bytes, 255 beyond a document. For each and each start of a span in it, the least id of all contexts with that span; NO_ID where there is none."""
+    out = np.full((len(contexts), p.window), C.NO_ID, np.int64)
+    empty = contexts == 255
+    whole = ~(empty[:, : p.window] | empty[:, p.span - 1 :])
+    # All strings around an anchor whose only context this is are in its documents and in no others: there is nothing to sort.
+    _, anchor = distinct_rows(np.ascontiguousarray(contexts[:, p.window - 1 : p.window - 1 + p.gram]))
+    alone = np.bincount(anchor)[anchor] == 1
+    out[alone] = np.where(whole[alone], least[alone, None], C.NO_ID)
+    if not alone.all():
+        out[~alone] = _sorted_classes(contexts[~alone], whole[~alone], least[~alone], p)
+    return out
+
+
+def _sorted_classes(contexts: np.ndarray, whole: np.ndarray, least: np.ndarray, p: Repeats) -> np.ndarray:
     rows, width = contexts.shape
     joined = np.full((rows, width + 1), 255, np.uint8)
     joined[:, :width] = contexts
@@ -167,10 +186,8 @@ def least_of_classes(contexts: np.ndarray, least: np.ndarray, p: Repeats) -> np.
     row, at = np.divmod(array, width + 1)
     inside = (row < rows) & (at < p.window)
     row, at = row[inside], at[inside]
-    empty = contexts == 255
-    starts, ends = empty[:, : p.window], empty[:, p.span - 1 : p.span - 1 + p.window]
-    whole = ~(starts | ends)[row, at]
-    row, at = row[whole], at[whole]
+    own = whole[row, at]
+    row, at = row[own], at[own]
     if not len(row):
         return out
     place = row.astype(np.int64) * (width + 1) + at
@@ -231,16 +248,18 @@ def anchors(raw: np.ndarray, sizes: np.ndarray, p: Repeats) -> tuple[np.ndarray,
     least[np.arange(len(least)) > last] = 0
     around = np.concatenate((np.zeros(p.window - 1, np.uint64), least, np.zeros(p.window - 1, np.uint64)))
     place = np.flatnonzero(_sliding(around, p.window, np.maximum)[:n] == h)
-    return h[place], place
+    # Anchors have small hashes; buckets are ranges of hashes, so they get new ones.
+    chosen = h[place] * _M2
+    return (chosen ^ (chosen >> np.uint64(32))) * _M1, place
 
 
 def contexts_of(raw: np.ndarray, sizes: np.ndarray, place: np.ndarray, p: Repeats) -> np.ndarray:
     """Rows of what spans around each place can cover, 255 beyond its document."""
     stop = np.cumsum(sizes)
     doc = np.searchsorted(stop, place, "right")
-    at = place[:, None] + np.arange(1 - p.window, p.span)
-    inside = (at >= (stop - sizes)[doc][:, None]) & (at < stop[doc][:, None])
-    out = raw[np.clip(at, 0, len(raw) - 1)]
+    at = place.astype(np.int32)[:, None] + np.arange(1 - p.window, p.span, dtype=np.int32)
+    inside = (at >= (stop - sizes).astype(np.int32)[doc][:, None]) & (at < stop.astype(np.int32)[doc][:, None])
+    out = raw[np.clip(at, 0, len(raw) - 1, out=at)]
     out[~inside] = 255
     return out
 
@@ -266,12 +285,7 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- the operator
 
 _ASK = pa.schema([("bucket", pa.int64()), ("chunk", pa.string()), ("hashes", pa.binary()), ("many", pa.binary())])
-_FOUND = pa.schema([("chunk", pa.string()), ("bucket", pa.int64()), ("contexts", pa.binary()), ("least", pa.binary()), ("places", pa.binary()), ("which", pa.binary())])
-
-
-def _open(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cell = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer() or b"", t)
-    return cell("data", np.uint8), cell("ids", np.int64), cell("sizes", np.int64)
+_FOUND = pa.schema([("chunk", pa.string()), ("bucket", pa.int64()), ("contexts", pa.binary()), ("least", pa.binary()), ("places", pa.binary()), ("which", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64())])
 
 
 def _asked(raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, p: Repeats):
@@ -294,13 +308,14 @@ def repeats(docs: DataFrame, p: Repeats = Repeats(), doc_id: str = "doc_id", tex
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                distinct, many, *_ = _asked(*_open(batch, i), p)
-                rows = [(b, distinct[s].tobytes(), np.packbits(many[s]).tobytes()) for b, s in C.split(distinct, n)]
+                distinct, many, *_ = _asked(*C.opened(batch, i), p)
+                # Half of a hash is enough within a bucket: what it mistakes for shared is only sorted in vain.
+                rows = [(b, distinct[s].astype(np.uint32).tobytes(), np.packbits(many[s]).tobytes()) for b, s in C.split(distinct, n)]
                 yield C.record({"bucket": [r[0] for r in rows], "chunk": [batch.column("chunk")[i].as_py()] * len(rows), "hashes": [r[1] for r in rows], "many": [r[2] for r in rows]}, _ASK)
 
     def meet(group: pa.Table) -> pa.Table:
         """For each chunk's hashes, whether another document may have them."""
-        each = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+        each = [np.frombuffer(x, np.uint32) for x in group["hashes"].to_pylist()]
         many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(group["many"].to_pylist(), each, strict=True)]
         _, which, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
         shared = count > 1
@@ -315,53 +330,56 @@ def repeats(docs: DataFrame, p: Repeats = Repeats(), doc_id: str = "doc_id", tex
         """The distinct contexts of shared anchors by bucket, and which of them lies where."""
         for batch in batches:
             for i in range(batch.num_rows):
-                raw, ids, sizes = _open(batch, i)
+                raw, ids, sizes = C.opened(batch, i)
                 distinct, _, place, which, own = _asked(raw, ids, sizes, p)
                 said = {x["bucket"]: x["bits"] for x in batch.column("said")[i].as_py() or ()}
                 out = {f.name: [] for f in _FOUND}
-                order = np.argsort(which, kind="stable")
-                edges = np.searchsorted(which[order], np.arange(len(distinct) + 1))
-                for b, s in C.split(distinct, n):
-                    bits = np.unpackbits(np.frombuffer(said[b], np.uint8), count=s.stop - s.start).astype(bool)
-                    members = order[edges[s.start] : edges[s.stop]]
-                    members = members[bits[which[members] - s.start]]
-                    if len(members):
-                        rows = contexts_of(raw, sizes, place[members], p)
-                        first, index = distinct_rows(rows)
-                        low = np.full(len(first), C.NO_ID)
-                        np.minimum.at(low, index, own[members])
-                        for name, x in (("chunk", batch.column("chunk")[i].as_py()), ("bucket", b), ("contexts", rows[first].tobytes()), ("least", low.tobytes()), ("places", place[members].astype(np.int32).tobytes()), ("which", index.astype(np.int32).tobytes())):
-                            out[name].append(x)
+                bits = np.concatenate([np.unpackbits(np.frombuffer(said[b], np.uint8), count=s.stop - s.start) for b, s in C.split(distinct, n)] or [np.zeros(0, np.uint8)]).astype(bool)
+                members = np.flatnonzero(bits[which])
+                rows = contexts_of(raw, sizes, place[members], p)
+                first, index = distinct_rows(rows)
+                low = np.full(len(first), C.NO_ID)
+                np.minimum.at(low, index, own[members])
+                # Both by bucket: the distinct contexts, and the places with the number of theirs.
+                top = (distinct[which[members]] >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
+                by, sorted_ = np.argsort(top[first], kind="stable"), np.argsort(top, kind="stable")
+                number = np.empty(len(first), np.int64)
+                number[by] = np.arange(len(first))
+                edge, edge_first = (np.searchsorted(t, np.arange(n + 1)) for t in (top[sorted_], top[first][by]))
+                at, nth = place[members][sorted_].astype(np.int32), number[index][sorted_]
+                chunk = batch.column("chunk")[i].as_py()
+                for b in np.flatnonzero(np.diff(edge)).tolist():
+                    s, f = slice(edge[b], edge[b + 1]), by[edge_first[b] : edge_first[b + 1]]
+                    for name, x in (("chunk", chunk), ("bucket", b), ("contexts", C.packed(rows[first[f]])), ("least", C.packed(low[f])), ("distinct", len(f)), ("places", C.packed(at[s])), ("which", C.packed((nth[s] - edge_first[b]).astype(np.int32))), ("n", len(at[s]))):
+                        out[name].append(x)
                 yield C.record(out, _FOUND)
 
-    found = C.answered(table, shared).mapInArrow(find, "chunk string, bucket bigint, contexts binary, least binary, places binary, which binary")
-    found = materialize(found, "contexts")
+    found = C.answered(table, shared, "bits").mapInArrow(find, "chunk string, bucket bigint, contexts binary, least binary, places binary, which binary, n bigint, distinct bigint")
 
     def sort(group: pa.Table) -> pa.Table:
-        each = [np.frombuffer(x, np.uint8).reshape(-1, p.context) for x in group["contexts"].to_pylist()]
-        rows, ids = np.concatenate(each), np.concatenate([np.frombuffer(x, np.int64) for x in group["least"].to_pylist()])
+        low_each = [C.unpacked(x, np.int64, k) for x, k in zip(group["least"].to_pylist(), group["distinct"].to_pylist(), strict=True)]
+        each = [C.unpacked(x, np.uint8, len(k) * p.context).reshape(-1, p.context) for x, k in zip(group["contexts"].to_pylist(), low_each, strict=True)]
+        rows, ids = np.concatenate(each), np.concatenate(low_each)
         first, which = distinct_rows(rows)
         low = np.full(len(first), C.NO_ID)
         np.minimum.at(low, which, ids)
         best = least_of_classes(rows[first], low, p)
         # A start says something only if its class has an id that is less than that of a document here.
         answer = np.split(best[which], np.cumsum([len(x) for x in each])[:-1])
-        pack = lambda a: pa.compress(a.tobytes(), "zstd", asbytes=True)
-        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "best": pa.array([pack(a) for a in answer], pa.binary()), "n": pa.array([len(a) for a in answer], pa.int64())})
+        return group.select(["chunk", "bucket", "places", "which", "n", "distinct"]).append_column("best", pa.array([C.packed(a) for a in answer], pa.binary()))
 
-    best = found.select("chunk", "bucket", "contexts", "least").groupBy("bucket").applyInArrow(sort, "chunk string, bucket bigint, best binary, n bigint")
-    places = found.select("chunk", "bucket", "places", "which").join(best, ["chunk", "bucket"])
+    # Contexts are shuffled straight to their shards; places ride along, and come back with the answers.
+    answers = found.groupBy("bucket").applyInArrow(sort, "chunk string, bucket bigint, places binary, which binary, n bigint, distinct bigint, best binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                raw, ids, sizes = _open(batch, i)
+                raw, ids, sizes = C.opened(batch, i)
                 stop = np.cumsum(sizes)
                 edge = np.zeros(len(raw) + 1, np.int32)
                 for x in batch.column("said")[i].as_py() or ():
-                    place, which = np.frombuffer(x["places"], np.int32).astype(np.int64), np.frombuffer(x["which"], np.int32)
-                    size = 8 * x["n"] * p.window
-                    low = np.frombuffer(pa.decompress(x["best"], size, "zstd", asbytes=True), np.int64).reshape(-1, p.window)
+                    place, which = C.unpacked(x["places"], np.int32, x["n"]).astype(np.int64), C.unpacked(x["which"], np.int32, x["n"])
+                    low = C.unpacked(x["best"], np.int64, x["distinct"] * p.window).reshape(-1, p.window)
                     own = ids[np.searchsorted(stop, place, "right")]
                     k, at = np.nonzero(low[which] < own[:, None])
                     start = place[k] + at - (p.window - 1)
@@ -379,5 +397,4 @@ def repeats(docs: DataFrame, p: Repeats = Repeats(), doc_id: str = "doc_id", tex
     names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep_text
     schema = pa.schema(names)
     ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
-    drop_table(shared)
-    return C.answered(table, places).mapInArrow(cut, ddl)
+    return C.answered(table, answers).mapInArrow(cut, ddl)
