@@ -9,7 +9,8 @@ all its pairs, unless the stars have joined these already. Candidates whose sign
 agree too little are let go, the others confirmed on their full sets from the texts. Components are found by
 alternating stars.
 
-With 24 trees of least depth 3, a pair of similarity 0.75 shares a region but for 2 in a million.
+With 32 trees of least depth 3, a pair of similarity 0.75 shares a region but for 2 in 100 million; how many of these
+links a crowded region's deeper levels keep depends on how many ways a cluster is connected.
 A document without words has an empty set and no link. Rows with null id take part in no link and are kept.
 """
 
@@ -34,9 +35,9 @@ BROADCAST_IDS = 2_000_000
 class Forest:
     words: int = 5
     percent: int = 75
-    trees: int = 24
-    depths: tuple[int, ...] = (3, 6, 12, 24, 48)
-    region: int = 32
+    trees: int = 32
+    depths: tuple[int, ...] = (3, 6, 8, 12, 16, 24, 48)
+    region: int = 48
     #: A pair whose signatures agree in a smaller share than this is no candidate: five standard deviations below the threshold.
     least: float = 0.5
     seed: int = 7
@@ -130,6 +131,7 @@ def _regions(nodes: DataFrame, p: Forest) -> tuple[DataFrame, DataFrame]:
     for level in range(len(p.depths)):
         rows = trees if big is None else trees.withColumn("_up", key(level - 1)).join(small(big.select(F.col("key").alias("_up")), 500_000), "_up", "left_semi")
         rows = rows.select(key(level).alias("key"), "node")
+        rows = rows if big is None else materialize(rows, "crowded")
         sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "regions")
         joined = materialize(rows.join(sizes, "key"), "members")
         stars.append(joined.where("node != least").select("least", "node"))
