@@ -9,8 +9,9 @@ all its pairs, unless the stars have joined these already. Candidates whose sign
 agree too little are let go, the others confirmed on their full sets from the texts. Components are found by
 alternating stars.
 
-With 32 trees of least depth 3, a pair of similarity 0.75 shares a region but for 2 in 100 million; how many of these
-links a crowded region's deeper levels keep depends on how many ways a cluster is connected.
+What regions over `region` nodes at the least depth leave open is settled exactly. Components that meet in one are a
+crowd; a crowd's nodes outside its largest component are compared on full sets with all its nodes, in blocks. With 32 trees of
+least depth 3, a pair of similarity 0.75 shares a region but for 2 in 100 million, crowded or not.
 A document without words has an empty set and no link. Rows with null id take part in no link and are kept.
 """
 
@@ -29,6 +30,8 @@ from quillon.llm.common import drop_table, materialize, small
 
 #: Most ids that are broadcast, to fetch the texts of candidates.
 BROADCAST_IDS = 2_000_000
+#: Of a crowd's comparisons: most nodes and shingles of a block that is held in memory, and nodes that a task streams past it.
+BLOCK_NODES, BLOCK_SHINGLES, STREAMED = 2000, 2_000_000, 2000
 
 
 @dataclass(frozen=True)
@@ -119,21 +122,22 @@ def sign(docs: DataFrame, p: Forest, doc_id: str = "doc_id", text: str = "text")
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node binary, sig binary")
 
 
-def _regions(nodes: DataFrame, p: Forest) -> tuple[DataFrame, DataFrame]:
-    """Stars (node, other) around each region's least node; pairs of small regions. Both as tables."""
+def _regions(nodes: DataFrame, p: Forest) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stars (node, other) around each region's least node; pairs of small regions; members (key, node) of the crowded ones of least depth. All as tables."""
     trees = nodes.select("node", F.concat("sig", "sig").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("tree"))
 
     def key(level: int):
         first = F.substring("s", F.col("tree") * (4 * p.depths[0]) + 1, F.lit(4 * p.depths[level]))
         return F.xxhash64(F.lit(level), "tree", first)
 
-    stars, pairs, big = [], [], None
+    stars, pairs, big, crowded = [], [], None, None
     for level in range(len(p.depths)):
         rows = trees if big is None else trees.withColumn("_up", key(level - 1)).join(small(big.select(F.col("key").alias("_up")), 500_000), "_up", "left_semi")
         rows = rows.select(key(level).alias("key"), "node")
         rows = rows if big is None else materialize(rows, "crowded")
         sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "regions")
         joined = materialize(rows.join(sizes, "key"), "members")
+        crowded = joined.where(F.col("n") > p.region).select("key", "node") if crowded is None else crowded
         stars.append(joined.where("node != least").select("least", "node"))
         few = joined.where(F.col("n") <= p.region).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("g"))
         pairs.append(few.select(F.explode(F.flatten(F.transform("g", lambda a, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b"))
@@ -141,7 +145,7 @@ def _regions(nodes: DataFrame, p: Forest) -> tuple[DataFrame, DataFrame]:
         if not big.take(1):
             break
     union = lambda frames: __import__("functools").reduce(DataFrame.unionByName, frames)
-    return union(stars).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), union(pairs).distinct()
+    return union(stars).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), union(pairs).distinct(), crowded
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, p: Forest) -> DataFrame:
@@ -159,10 +163,9 @@ def _alike(pairs: DataFrame, nodes: DataFrame, p: Forest) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: Forest, doc_id: str, text: str) -> DataFrame:
-    """The pairs whose full sets are similar enough, from the texts."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
-    wanted = materialize(wanted, "wanted")
+def _fetch(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, p: Forest, doc_id: str, text: str) -> DataFrame:
+    """node, text of the wanted nodes, as a table."""
+    wanted = materialize(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
     fetched = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(small(wanted, BROADCAST_IDS), "doc_id").select("node", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,12 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: Forest, doc
             same = [hashlib.blake2b(shingles(y, p.words).tobytes(), digest_size=16).digest() == x for x, y in zip(node, t, strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    texts = materialize(fetched.mapInArrow(own, fetched.schema), "texts")
+    return materialize(fetched.mapInArrow(own, fetched.schema), "texts")
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: Forest, doc_id: str, text: str) -> DataFrame:
+    """The pairs whose full sets are similar enough, from the texts."""
+    texts = _fetch(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs, p, doc_id, text)
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,18 +221,121 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+class _Block:
+    """Sets that others are compared with, by an inverted index of their shingles."""
+
+    def __init__(self, percent: int):
+        self.percent, self.components, self.sets, self.hashes = percent, [], [], None
+
+    def close(self) -> None:
+        self.codes = {c: k for k, c in enumerate(dict.fromkeys(self.components))}
+        self.code = np.array([self.codes[c] for c in self.components], np.int64)
+        self.names, self.done = list(self.codes), {}
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+        every, own = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.size)
+        self.hashes, entry, self.count = np.unique(every, return_inverse=True, return_counts=True)
+        self.own, self.first = own[np.argsort(entry, kind="stable")], np.cumsum(self.count) - self.count
+        # A similar set has `percent` of these shingles at least, so one of any that are more than the rest; the rarest are taken.
+        order = np.lexsort((entry, self.count[entry], own))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        least = -(-self.percent * self.size // 100)
+        self.prefix = np.zeros(len(self.hashes), bool)
+        self.prefix[entry[order[place < np.repeat(self.size - least + 1, self.size)]]] = True
+        self.sets = []
+
+    def links(self, components: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
+        """Pairs of a component here and another of these sets that a similar pair joins; each once."""
+        every, which = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(self.hashes, every), len(self.hashes) - 1)
+        met = self.hashes[at] == every
+        at, which = at[met], which[met]
+        edge = np.searchsorted(which, np.arange(len(sets) + 1))
+        for k in np.unique(which[self.prefix[at]]).tolist():
+            near = at[edge[k] : edge[k + 1]]
+            n = self.count[near]
+            index = np.arange(n.sum()) + np.repeat(self.first[near] - np.cumsum(n) + n, n)
+            common = np.bincount(self.own[index], minlength=len(self.size))
+            similar = 100 * common >= self.percent * (self.size + len(sets[k]) - common)
+            if components[k] not in self.done:
+                self.done[components[k]] = np.zeros(len(self.names), bool)
+                if components[k] in self.codes:
+                    self.done[components[k]][self.codes[components[k]]] = True
+            done = self.done[components[k]]
+            for c in np.unique(self.code[similar & ~done[self.code]]).tolist():
+                done[c] = True
+                yield self.names[c], components[k]
+
+
+def _settle(crowded: DataFrame, joined: DataFrame, nodes: DataFrame, docs: DataFrame, p: Forest, doc_id: str, text: str) -> DataFrame | None:
+    """Links (a, b) between components that crowded regions left apart; None if there can't be any. joined: node, component of all linked nodes."""
+    members = materialize(crowded.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "crowded")
+    met = members.select("key", "component").distinct()
+    apart = met.groupBy("key").agg(F.min("component").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    edges = materialize(met.join(apart, "key").where("component != least").select(F.col("component").alias("a"), F.col("least").alias("b")).distinct(), "meetings")
+    if not edges.take(1):
+        return None
+    crowds = components(edges).select(F.col("node").alias("component"), F.col("component").alias("crowd"))
+    crowds = materialize(crowds.union(crowds.select("crowd", "crowd")).distinct(), "crowds")
+    members = members.select("node", "component").distinct().join(crowds, "component").join(nodes.select("node", "n_shingles"), "node")
+    members = materialize(members, "crowd")
+    per = members.groupBy("crowd", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = per.groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("s").alias("s"), F.max_by("s", F.struct("n", "component")).alias("main_s"))
+    blocks = F.ceil(F.greatest((F.col("n") - F.col("most")) / BLOCK_NODES, (F.col("s") - F.col("main_s")) / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("crowd", "main", F.greatest(blocks, F.lit(1)).alias("blocks"), F.ceil(F.col("n") / STREAMED).cast("int").alias("streams"))
+    texts = _fetch(members.select("node"), nodes, docs, p, doc_id, text)
+    placed = members.join(small(sizes, 500_000), "crowd").join(texts, "node")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+    held = placed.where("component != main").select("crowd", one("blocks").alias("i"), upto("streams").alias("j"), F.lit(0).alias("role"), "component", "text")
+    streamed = placed.select("crowd", upto("blocks").alias("i"), one("streams").alias("j"), F.lit(1).alias("role"), "component", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each task the held sets come first; those streamed past needn't fit memory."""
+        task = block = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("crowd", "i", "j", "role")), strict=True))
+            found, at = [], 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at] and end < at + 256:
+                    end += 1
+                if keys[at][:3] != task:
+                    task, block = keys[at][:3], _Block(p.percent)
+                own = batch.column("component")[at:end].to_pylist()
+                sets = [shingles(t, p.words) for t in batch.column("text")[at:end].cast(pa.binary()).to_pylist()]
+                if keys[at][3] == 0:
+                    block.components += own
+                    block.sets += sets
+                elif block.components:
+                    if block.hashes is None:
+                        block.close()
+                    found += block.links(own, sets)
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+    rows = held.union(streamed).repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j", "role")
+    links = materialize(rows.mapInArrow(run, "a binary, b binary").distinct(), "links")
+    drop_table(texts)
+    return links
+
+
 def classify(docs: DataFrame, p: Forest = Forest(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept: a row for each of docs."""
     signed = materialize(sign(docs, p, doc_id, text), "signed")
-    nodes = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    nodes = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = materialize(nodes, "nodes")
-    stars, pairs = _regions(nodes, p)
+    stars, pairs, crowded = _regions(nodes, p)
     first = _confirm(materialize(_alike(stars, nodes, p), "stars"), nodes, docs, p, doc_id, text)
     joined = components(first)
     part = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     apart = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     second = _confirm(materialize(_alike(apart, nodes, p), "pairs"), nodes, docs, p, doc_id, text)
     final = components(first.union(second))
+    third = _settle(crowded, final, nodes, docs, p, doc_id, text)
+    if third is not None and third.take(1):
+        merged = components(third).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+        final = final.union(third.select("a", "a")).union(third.select("b", "b")).distinct()
+        final = final.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
     member = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     classes = member.join(least, "component").select("node", "component_id")

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillon.llm import neardup
@@ -60,6 +62,29 @@ def test_large_region_and_chain(spark):
     assert got(neardup.classify(frame)) == brute(rows)
 
 
+def test_crowd_of_mutated_copies(spark):
+    """So many copies, each changed in other places, that regions are crowded at all depths."""
+    draw = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(1500):
+        text = list(base)
+        for k in draw.sample(range(200), draw.randint(1, 8)):
+            text[k] = f"x{draw.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    own = [sets(t) for _, t in rows]
+    shared = [x for x, n in Counter(x for s in own for x in s).items() if n > 1]
+    common = (has := np.array([[x in s for x in shared] for s in own], np.float32)) @ has.T
+    size = np.array([len(s) for s in own])
+    linked = (100 * common >= 75 * (size[:, None] + size - common)) | np.eye(len(rows), dtype=bool)
+    least = np.arange(len(rows))
+    while (new := np.where(linked, least, len(rows)).min(axis=1)).tolist() != least.tolist():
+        least = new
+    assert got(neardup.classify(frame)) == sorted(zip(range(len(rows)), size.tolist(), least.tolist()), key=str)
+    assert len(set(least.tolist())) > 1
+
+
 def test_odd_rows(spark, odd):
     assert got(neardup.classify(odd)) == brute([(r.doc_id, r.text) for r in odd.collect()])
     left = [r.doc_id for r in neardup.deduplicate(odd).collect()]
