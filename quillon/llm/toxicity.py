@@ -81,10 +81,15 @@ class Grammar:
 
     def evidence(self, text: str | None) -> float:
         text = (text or "").lower()
-        found = {w: x for w in set(WORD.findall(text)) if (x := self.insult(w))}
-        if not found:
+        every = set(WORD.findall(text))
+        found = {w: x for w in every if (x := self.insult(w))}
+        aims = not (_THREATS.isdisjoint(every) or _TARGETS.isdisjoint(every))
+        if not found and not aims:
             return 0.0
-        return sum(self.clause(words, found) for c in CLAUSE.split(text) if not found.keys().isdisjoint(words := WORD.findall(c)))
+        return float(sum(
+            self.clause(words, found) for c in CLAUSE.split(text)
+            if not found.keys().isdisjoint(words := WORD.findall(c)) or aims and not _THREATS.isdisjoint(words) and not _TARGETS.isdisjoint(words)
+        ))
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * min(evidence, 30.0) + self.offset))))

@@ -38,6 +38,15 @@ def test_grammar():
     assert toxicity.Grammar({"idiot": 4.0}, {}).evidence("an idiot; i will hurt you") > 4.0 - 1e-9
 
 
+def test_threat_without_insult():
+    g = toxicity.Grammar({"idiot": 4.0}, {})
+    e = g.evidence
+    assert e("I will hurt you.") == pytest.approx(g.threat * 0.25) and g.score(e("I will hurt you.")) > g.score(e(""))
+    assert e("an idiot; i will hurt you") == pytest.approx(4.0 + g.threat * 0.25)
+    assert e("he said they burn you") == pytest.approx(g.threat * g.reported * 0.25)
+    assert e("never hurt you") == e("hurt. you") == e("you burn wood") == 0
+
+
 def test_odd_and_empty(spark, odd):
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     g = toxicity.fit(odd, labels)
