@@ -19,23 +19,29 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; our own only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. Where it is unset, a local one, if driver and executors are one process; else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or "/tmp/checkpoints").rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: a lost executor costs a reread only, and plans stay short."""
-    path = f"{shared_dir(df.sparkSession)}/quillon-state-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str = "state") -> DataFrame:
+    """df as a Parquet table in the shared folder: a lost executor costs a reread only, and plans stay short."""
+    path = f"{shared_dir(df.sparkSession)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more, folders and all."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("quillon-"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def csv(spark: SparkSession, path: str, width: int) -> DataFrame:
