@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.tables import discard as drop_table
+from quillon.sources.tables import written as materialize
+
+__all__ = ["ascii_lower", "drop_table", "let", "materialize", "n_bytes", "parts", "small", "table"]
+
 #: ASCII white space, the word separator of most operators here.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,31 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir; our own only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a reread of the table, not a recomputation, and
-    later passes read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once.
 
@@ -59,6 +38,24 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has at most that many rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Most bytes of a table that is broadcast.
+BROADCAST_BYTES = 24 << 20
+
+
+def n_bytes(df: DataFrame) -> int:
+    """Bytes of all rows, about as they lie in memory."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            width += F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind == "array<string>":
+            width += F.coalesce(F.octet_length(F.concat_ws("", c)) + 16 * F.size(c), F.lit(0)) + 16
+        else:
+            width += 8
+    return df.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows have at most that many bytes; else left to a shuffled join, which gives the same rows. Give it a table: it is read for its size."""
+    return F.broadcast(df) if n_bytes(df) <= most else df
