@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.sources.tables import discard as drop_table
 from quillon.sources.tables import written as materialize
 
-__all__ = ["ascii_lower", "drop_table", "let", "materialize", "n_bytes", "parts", "small", "table"]
+__all__ = ["ascii_lower", "drop_table", "let", "materialize", "n_bytes", "parts", "small", "table", "unused"]
 
 #: ASCII white space, the word separator of most operators here.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,6 +34,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
