@@ -87,16 +87,17 @@ k as (
 m as (
   select *, case when regexp_matches(word, '^([0-9a-f]+|[0-9A-F]+)$') then {_P.hex_bits} when regexp_matches(word, '^[A-Za-z0-9]+$') then {_P.alnum_bits} else {_P.base64_bits} end as bits
   from k where regexp_matches(word, '[0-9]') and regexp_matches(word, '[A-Za-z]') and {" and ".join(f"not regexp_matches(word, {_quoted(a)})" for a in _P.allow)}),
-w as (select r, pos, base, bits, i, substr(word, cast(i as bigint), {_P.window}) as win from (select *, unnest(generate_series(1, length(word) - {_P.window} + 1)) as i from m)),
-chars as (select r, pos, base, bits, i, substr(win, cast(j as bigint), 1) as ch from (select *, unnest(generate_series(1, {_P.window})) as j from w)),
+w as (select r, pos, bits, i, substr(word, cast(i as bigint), {_P.window}) as win from (select r, pos, bits, word, unnest(generate_series(1, length(word) - {_P.window} + 1)) as i from m) where not regexp_matches(win, {_quoted(_P.placeholder)})),
+chars as (select r, pos, bits, i, substr(win, cast(j as bigint), 1) as ch from (select *, unnest(generate_series(1, {_P.window})) as j from w)),
 h as (
-  select r, pos, any_value(base) as base, bits, i, sum({_F("n")}) as total from (select r, pos, any_value(base) as base, bits, i, ch, count(*) as n from chars group by r, pos, bits, i, ch) group by r, pos, bits, i),
+  select r, pos, bits, i, sum({_F("n")}) as total from (select r, pos, bits, i, ch, count(*) as n from chars group by r, pos, bits, i, ch) group by r, pos, bits, i),
 hot as (
-  select r, pos + min(i) - 1 as first, pos + max(i) - 1 + {_P.window} as last, any_value(base) as base
+  select r, pos, pos + min(i) - 1 as first, pos + max(i) - 1 + {_P.window} as last
   from h where total <= {_P.window} * (log2({_P.window}) - bits) + 1e-9 group by r, pos),
 extra as (
   select r, list({{'start': cast(first as bigint), 'rank': 3, 'end': cast(last as bigint)}}) as spans
-  from hot where len(list_filter(base, lambda b: b.start <= first and b."end" >= last)) = 0 group by r),
+  from hot join m using (r, pos) where len(list_filter(base, lambda b: b.start <= first and b."end" >= last)) = 0
+ group by r),
 parts as (
   select doc_id, base, list_sort(list_concat(list_transform(base, lambda s: {{'start': s.start, 'rank': s.rank, 'end': s."end"}}), coalesce(spans, []))) as spans
   from b left join extra using (r))

@@ -46,7 +46,7 @@ def secrets(text, p):
         if not (re.search("[0-9]", w) and re.search("[A-Za-z]", w)) or any(re.search(a, w) for a in p.allow):
             continue
         bits = p.hex_bits if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) else p.alnum_bits if re.fullmatch("[A-Za-z0-9]+", w) else p.base64_bits
-        hot = [i for i in range(len(w) - p.window + 1) if -sum(c / p.window * math.log2(c / p.window) for c in Counter(w[i : i + p.window]).values()) >= bits - 1e-12]
+        hot = [i for i in range(len(w) - p.window + 1) if -sum(c / p.window * math.log2(c / p.window) for c in Counter(w[i : i + p.window]).values()) >= bits - 1e-12 and not re.search(p.placeholder, w[i : i + p.window])]
         if hot:
             span = (m.start() + hot[0], 3, m.start() + hot[-1] + p.window)
             if not any(a <= span[0] and b >= span[2] for a, _, b in base):

@@ -1,12 +1,13 @@
 """The operators of DataFrame functions: decontamination, secrets, quality; and that their plans run no Python."""
 
 import random
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, oracles, quality, secrets, urls
+from quillon.llm import common, decontaminate, oracles, quality, secrets, urls
 from quillon.llm.queries import QUERIES
 
 from tests.llm import brute
@@ -71,6 +72,7 @@ def secret_texts():
         None, "", "é" * 5 + ' PassWord = "hunter22" ', "token = token: abcdefgh", "token=secret=abcdefgh", "api_key:short token: 'longer-value.x=='", "AKIA" + run("ABCDEFGH234567", 16), "xAKIAAKIA" + "Z9" * 7, "AKIA1234",
         run(hexes, 24), run(hexes, 23) + "g", "\U0001f600 " + run(hexes, 40) + ", " + run(hexes, 64), "key " + run(b64, 40) + " end", "a" * 30 + "1", "550e8400-e29b-41d4-a716-446655440000", "this-is-a-long-hyphenated-name-2024", run(b64, 300), "secret: " + run(b64, 40) + run(hexes, 30),
         "ſecret=abcdefghij toKen=abcdefghij", LONG, 'apikey"  :   "' + run(b64, 22), "x" * 19 + "1" + run(b64, 25) + "x" * 40, "2024-01-02/2024-01-03/2025", "ABC" + run("0123456789ABCDEF", 40),
+        "https://h.com/api/user/reset/" + run(b64[:62], 24), "example/" + run(b64, 60), "/" + run(b64, 10) + "EXAMPLE" + run(b64, 10), "a, b= " * 900 + "token=abcdef " * 1300, "k=" + run(b64, 40) + "~" + run(b64[:62], 90),
     ]
 
 
@@ -95,20 +97,55 @@ def test_secrets(spark):
                 at = max(at, s.end)
             assert r.text == want + texts[r.doc_id][at:]
     assert secrets.redact(rows).columns == rows.columns
+    clash = rows.withColumn("base_spans", F.lit(1)).withColumn("secret_spans", F.lit("y")).withColumn("spans", F.lit(2)).where("doc_id = 2")
+    assert secrets.redact(clash).select("base_spans", "secret_spans", "spans").first() == (1, "y", 2)
+    assert secrets.scan(clash).columns == ["doc_id", "text", "start", "base", "spans", "base_spans", "secret_spans"]
     assert secrets.scan(rows.limit(0)).count() == 0
 
 
+def test_a_very_long_candidate(spark):
+    """Time grows with its length, not with the square: a megabyte takes seconds."""
+    draw = random.Random(6)
+    text = "x " + "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000)) + " y"
+    began = time.time()
+    (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.time() - began < 60
+    (span,) = row.secret_spans
+    assert 2 <= span.start < 1000 and 1_000_002 - 1000 < span.end <= 1_000_002
+
+
+def test_decontaminate_long_documents_without_broadcast(spark, monkeypatch):
+    """Shuffled joins give the same rows; no document's words are sent with each of its places."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common.small, "__defaults__", (-1,))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        draw = random.Random(8)
+        text = lambda n: " ".join(draw.choices(["the", "of", *(f"w{k}" for k in range(300))], weights=[200, 100, *[1] * 300], k=n))
+        docs = [(k, text(20_000 if k < 2 else 200)) for k in range(12)] + [(20, None), (None, "the the the"), (None, "the the the")]
+        items = [(k, " ".join(docs[k % 12][1].split()[50 * k : 50 * k + 14])) for k in range(30)] + [(40, "the " * 30), (41, "of the of"), (42, text(40)), (43, None)]
+        wins = brute.windows(items)
+        frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        assert spread(spark, frame, tests) == sorted(((i, *brute.contaminated(t, wins)) for i, t in docs), key=KEY)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # --- quality
 
 
 def test_quality_counts(spark, odd):
     draw = random.Random(1)
     texts = [" ".join(draw.choices(["a", "b", "c", "dd", "#e"], k=n)) for n in (2, 3, 4, 5, 30, 400)] + ["x y z " * 50, "x\n\nx\n \nx y\nx y\n", "\x1fone\u00a0two\x0bthree\x85", "w " * 100]
-    rows = odd.unionByName(spark.createDataFrame([(100 + k, t, "en", "s", 0, 0, 0) for k, t in enumerate(texts)], odd.schema)).withColumn("n_words", F.lit(-1)).drop("n_words")
+    rows = odd.unionByName(spark.createDataFrame([(100 + k, t, "en", "s", 0, 0, 0) for k, t in enumerate(texts)], odd.schema))
+    rows = rows.withColumns({c: F.lit("mine") for c in ("n_words", "mean_word", "lines", "stratum", "cut_mean_word", "kept")})
     got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.features(rows).collect()), key=KEY)
     assert got == sorted(((r.doc_id, *brute.quality(r.text)) for r in rows.collect()), key=KEY)
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.judge(odd, labels).count() == odd.count()
+    judged = quality.judge(rows, labels)
+    assert judged.count() == rows.count() and judged.columns.count("n_words") == judged.columns.count("kept") == 1
+    assert {r.stratum + r.lines + r.cut_mean_word for r in judged.collect()} == {"mine" * 3}
     assert quality.judge(odd.limit(0), labels.limit(0)).count() == 0
 
 
@@ -159,6 +196,10 @@ def test_urls(spark):
     assert (got[1].host, got[1].path) == ("example.org", "/en/123")
     assert (got[12].host, got[12].path) == ("", "")
     assert urls.judge(frame.limit(0)).count() == 0
+    clash = frame.withColumns({c: F.lit("mine") for c in ("host", "rule", "verdict", "judged")})
+    judged = urls.judge(clash)
+    assert sorted(judged.columns) == sorted(["page_id", "url", "html", "tokens", "judged", "host", "path", "rule", "matched", "verdict"])
+    assert {r.page_id: r.verdict for r in judged.collect()} == {k: v for k, (_, _, v) in enumerate(cases)}
 
 
 def test_index_uses_the_rarest_token(spark):
