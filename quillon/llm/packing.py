@@ -6,8 +6,8 @@ then its smallest document gives way to two unpacked ones that fill the expanded
 tightly; the bin is repeated for as long as there are documents of its lengths. Each document then finds
 its place from its rank among those of its length, which needs no group in one task.
 
-Null text counts as empty: a document of the end id alone. Repeated rows are packed each;
-null ids and extra columns are kept.
+Null text counts as empty: a document of the end id alone. Repeated rows are packed each; null ids are kept.
+Only the id and the text are read, so extra columns, of any name, don't matter; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -53,6 +53,15 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters, self.before = self.tokenizer.model, _byte_letters(), {}
         self.alike = self._alike()
+        self.apart = self._apart()
+
+    def _apart(self) -> bool:
+        """Whether words can be encoded one by one: whether white space of any kind, anywhere, gives no id and joins nothing."""
+        words = ["Don't", "it's", "\u00c9t\u00e9,", "a1b22", "W\u00f6rter-buch...", "x", "!!", "\u4e2d\u6587", "the", "\u00a0", "2048", "a<|endoftext|>"]
+        encode = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        alone = sum(map(encode, words), [])
+        texts = [f"{lead}{space.join(words)}{lead}" for space in (" ", "  ", "\n", "\t", "\r\n", " \n \n ", "\x0b", "\x0c") for lead in ("", space)]
+        return all(encode(t) == alone for t in texts) and not any(encode(t) for t in ("", " ", "\n\n", "\t \r"))
 
     def _alike(self) -> bool:
         """Whether the short way gives the tokenizer's own ids; if this isn't so for its kind, it isn't taken."""
@@ -85,14 +94,19 @@ _encoders: dict[str, _Words] = {}
 def ids_of(path: str, texts: list[bytes | None], end: int) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text, then the end id.
 
-    The tokenizer drops white space and joins nothing across it, so words are encoded once and
-    remembered.
+    If the tokenizer drops white space and joins nothing across it, words are encoded once and
+    remembered; else texts are encoded whole.
     """
     if path not in _encoders:
         _encoders[path] = _Words(path)
-    of, last = _encoders[path].__getitem__, array("I", [end]).tobytes()
+    words, last = _encoders[path], array("I", [end]).tobytes()
+    of = words.__getitem__
     for text in texts:
-        yield b"".join(map(of, (text or b"").split())) + last
+        if words.apart:
+            yield b"".join(map(of, (text or b"").split())) + last
+        else:
+            ids = words.tokenizer.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
+            yield array("I", ids).tobytes() + last
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:

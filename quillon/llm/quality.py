@@ -7,7 +7,7 @@ allowed risk; a cutoff is valid if that is refuted at a level corrected (Bonferr
 strata, rules and cutoffs tried. The tightest valid cutoff is taken, none if no cutoff is valid.
 
 Null text has no words. A stratum without labels has no cutoffs. Labels that contradict
-each other for one id are ignored. Repeated rows, null ids and extra columns are kept.
+each other for one id are ignored. Repeated rows, null ids and extra columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, let, materialize
+from quillon.llm.common import SPACE, let, materialize, unused
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "mean_word")
 
 
 @dataclass(frozen=True)
@@ -86,27 +87,27 @@ def repeat_words(text: Column) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' columns, without the text, and the counts and ratios of each text."""
+    """docs' columns, without the text and those named like a feature, and the counts and ratios of each text."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     without = lambda chars: F.length(F.translate(t, chars, ""))
     n = F.size(words(t)).cast("long")
     out = docs.select(
-        *(c for c in docs.columns if c != text),
+        *(c for c in docs.columns if c != text and c.lower() not in FEATURES),
         n.alias("n_words"), without(BLANKS).cast("long").alias("word_chars"),
         (F.length(t) - without(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_lines"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias(both := unused(docs, "lines")),
         repeat_words(t).alias("n_repeat_words"),
     )
     ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     return (
-        out.withColumn("n_dup_lines", F.col("_lines.dup"))
+        out.withColumn("n_dup_lines", F.col(f"{both}.dup"))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .withColumn("symbol_ratio", ratio(F.col("n_symbols"), F.col("word_chars")))
-        .withColumn("dup_line_ratio", ratio(F.col("n_dup_lines"), F.col("_lines.n")))
+        .withColumn("dup_line_ratio", ratio(F.col("n_dup_lines"), F.col(f"{both}.n")))
         .withColumn("repeat_ratio", ratio(F.col("n_repeat_words"), F.col("n_words")))
         .withColumn("mean_word", ratio(F.col("word_chars"), F.col("n_words")))
-        .drop("_lines")
+        .drop(both)
     )
 
 
@@ -149,14 +150,16 @@ def _all():
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", params: Risk = Risk()) -> DataFrame:
-    """docs' columns without the text, counts, base_failed, and kept."""
-    measured = materialize(features(docs, text), "quality")
+    """docs' columns without the text, counts, base_failed, and kept; columns of docs named like a feature, or kept, are replaced."""
+    measured = materialize(features(docs.drop("kept"), text), "quality")
     cuts = cutoffs(measured, labels, stratum, params)
+    names = {c: unused(measured, c) for c in cuts.columns}
+    cuts = cuts.select(*(F.col(c).alias(n) for c, n in names.items()))
     failed = F.lit(False)
     for rule in params.grid:
-        failed = failed | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
+        failed = failed | F.coalesce(F.col(rule) > F.col(names[f"cut_{rule}"]), F.lit(False))
     return (
-        measured.join(cuts, F.coalesce(F.col(stratum), F.lit("")) == cuts["stratum"], "left")
+        measured.join(cuts, F.coalesce(F.col(stratum), F.lit("")) == F.col(names["stratum"]), "left")
         .withColumn("kept", ~F.col("base_failed") & ~failed)
-        .drop("stratum", *(f"cut_{rule}" for rule in params.grid))
+        .drop(*names.values())
     )

@@ -6,7 +6,8 @@ all URLs; a URL's tokens fetch the candidate rules, and only these run. A rule w
 is a candidate for every URL. Domain rules (the longest that fits wins) go before pattern
 rules (the first listed wins); a URL that no rule fits gets the default.
 
-A null URL, or one without ://, has an empty host and path and fits no rule.
+A null URL, or one without ://, has an empty host and path and fits no rule. Repeated rows are judged each, null ids and
+extra columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import UPPER, LOWER
+from quillon.llm.common import LOWER, UPPER, unused
 
 TOKEN = re.compile("[a-z0-9]+")
 
@@ -62,15 +63,9 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-#: What the method adds: common kinds of unwanted hosts.
-PATTERNS = (
-    Rule("block", pattern=r"^[^\0]*\bcasino\b", literals=("casino",)),
-    Rule("block", pattern=r"^[^\0]*\bpills\b", literals=("pills",)),
-    Rule("block", pattern=r"^[^\0]*\bfree-bets\b", literals=("free", "bets")),
-    Rule("block", pattern=r"^[^\0]*\bads-track\b", literals=("ads", "track")),
-    Rule("block", pattern=r"^[^\0]*\bspam-farm\b", literals=("spam", "farm")),
-    Rule("block", pattern=r"^[^\0]*\b(?:xxx|porn)\b"),
-)
+#: What the method adds: words of unwanted hosts. Each rule has a token, so that none runs on every URL.
+UNWANTED = ("casino", "poker", "gambling", "free-bets", "pills", "viagra", "payday-loans", "ads-track", "spam-farm", "warez", "porn", "xxx")
+PATTERNS = tuple(Rule("block", pattern=rf"^[^\0]*\b{w}\b", literals=tuple(w.split("-"))) for w in UNWANTED)
 
 
 def host(url: Column) -> Column:
@@ -95,8 +90,9 @@ def index(frame: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = (*RULES, *PATTERNS), default: str = "allow", url: str = "url") -> DataFrame:
-    """pages with host, path, rule (the domain rule that decided), matched (any rule that did) and verdict."""
-    frame = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
+    """pages with host, path, rule (the domain rule that decided), matched (any rule that did) and verdict; columns of pages with these names are replaced."""
+    added = {"host", "path", "rule", "matched", "verdict"} - {url}
+    frame = pages.drop(*added).withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
     filed = index(frame, rules)
     order = {r: k for k, r in enumerate(rules)}
 
@@ -114,4 +110,5 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = (*RULES, *PATTERNS), defau
                 out.append((best and best.name, first and first.name, first.verdict if first else default))
             yield pd.DataFrame(out, columns=["rule", "matched", "verdict"])
 
-    return frame.withColumn("_v", verdict("host", "path")).select(*frame.columns, "_v.rule", "_v.matched", "_v.verdict")
+    name = unused(frame, "judged")
+    return frame.withColumn(name, verdict("host", "path")).select(*frame.columns, *(F.col(f"{name}.{c}").alias(c) for c in ("rule", "matched", "verdict")))
