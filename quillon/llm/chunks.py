@@ -4,10 +4,14 @@ A chunk holds the texts of some documents end to end, with their ids and lengths
 once; a question goes from a chunk to buckets of a hash range, sorted and free of repeats, and
 the answer comes back in the same order. So what many documents share is sent once a chunk, and no
 task gets a key's occurrences one by one.
+
+Every chunk may ask every bucket. Both grow with the root of the input, so that such rows grow with the input, not with its
+square, up to CHUNKS bytes; a chunk takes some forty times its bytes of memory, so CHUNKS can grow with the executors'.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,18 +21,23 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize
 
-#: Bytes of text that end a chunk; a longer document is a chunk of its own.
-CHUNK = 3 << 20
+#: Bytes of text that end a chunk, at least and at most; a longer document is a chunk of its own.
+CHUNK, CHUNKS = 3 << 20, 12 << 20
 #: Stands for a null id: larger than all others.
 NO_ID = np.iinfo(np.int64).max
 SCHEMA = "chunk string, n_bytes bigint, data binary, ids binary, sizes binary"
 
 
+def grown(total: int, least: int, most: int) -> int:
+    """Bytes of a chunk or a bucket of so many bytes in all: least up to a gigabyte, then with the root."""
+    return int(min(most, max(least, least * (total / (1 << 30)) ** 0.5)))
+
+
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A table of SCHEMA; ids and sizes are 64-bit, data is compressed, as it is shuffled more than once. Null text counts as empty."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+    size = grown(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0, CHUNK, CHUNKS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ids, total = [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -40,7 +49,7 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 texts.append(t or b"")
                 ids.append(NO_ID if i is None else i)
                 total += len(texts[-1])
-                if total >= CHUNK or len(texts) >= 50_000:
+                if total >= size or len(texts) >= 50_000:
                     yield row()
                     texts, ids, total = [], [], 0
         if texts:
@@ -58,6 +67,15 @@ def unpacked(data: bytes, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers, packed byte by byte of their weight: small ones take little."""
+    return packed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T))
+
+
+def unplanes(data: bytes, kind: type, n: int) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(data, np.uint8, n * np.dtype(kind).itemsize).reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+
+
 def opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, ids and sizes of a chunk."""
     cell = lambda c: batch.column(c)[i].as_py()
