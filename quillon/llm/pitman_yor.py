@@ -519,7 +519,7 @@ def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str
             own.sweep(m.root, np.full(len(words), 1 / (vocabulary + 1)), None, draw)
         cuts, none = np.cumsum([len(x) for x in each])[:-1], [None] * (len(rows) - 1)
         return pa.table({
-            "bucket": group["bucket"], "n": group["n"], "words": group["words"], "customers": pa.array([C.planes(x) for x in np.split(count[which], cuts)], pa.binary()), "tables": pa.array([C.planes(x) for x in np.split(own.tables[which], cuts)], pa.binary()),
+            "bucket": group["bucket"], "n": group["n"], "words": group["words"], "customers": pa.array([C.planes(x) for x in np.split(count[which], cuts)], pa.binary()), "tables": pa.array([C.planes(x) for x in np.split(own.tables.astype(np.int64)[which], cuts)], pa.binary()),
             "sums": pa.array([[float(count.sum()), float(own.tables.sum()), *own.sums(m.root, draw, False).tolist()], *none], pa.list_(pa.float64())),
         })
 
