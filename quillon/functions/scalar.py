@@ -64,3 +64,11 @@ def max_abs(x: Column) -> Column:
 
 def sum_abs(x: Column) -> Column:
     return F.aggregate(F.transform(x, F.abs), F.lit(0.0), lambda s, v: s + v)
+
+
+def scrambled(key: Column, seed: int, rounds: int = 3) -> Column:
+    """A number from 1 to 2**31 - 2 that looks random, of an integer key and a seed: steps of a multiplicative generator. Plain arithmetic, so any SQL engine gives the same."""
+    x = F.pmod(key.cast("long") + seed, F.lit(2147483646)) + 1
+    for _ in range(rounds):
+        x = (x * 48271) % 2147483647
+    return x

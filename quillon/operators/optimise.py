@@ -101,112 +101,155 @@ class Guard:
         return f, g
 
 
-def scg(objective: Objective, x: np.ndarray, latents: Latents | None = None, iterations: int = 100, xtol: float = 1e-6, ftol: float = 1e-6, gtol: float = 1e-5, max_evaluations: int | None = None, reset_local: bool = False) -> Trace:
-    """Scaled conjugate gradients: the curvature along d from a gradient difference, the step from a trust factor."""
-    trace = Trace()
+@dataclass
+class _Course:
+    """Where conjugate gradients stand: the global part, and numbers that rows and globals share. Rows keep theirs in the state table."""
+
+    x: np.ndarray
+    f: float
+    g_new: np.ndarray
+    g_old: np.ndarray
+    d: np.ndarray
+    trust: float = 1.0
+    slope: float = 0.0  # along d
+    length: float = 0.0  # of d, squared
+    curvature: float = 0.0
+    restart_in: float = math.inf
+
+
+def _no_report(_: str) -> None:
+    pass
+
+
+def _line(report: Callable[[str], None] | None, iteration: int, f: float, gradient: float, scale: float) -> None:
+    (report or _no_report)(f"{iteration:>6} {f:>16.8e} {scale:>12.4e} {gradient:>12.4e}")
+
+
+def _aim(c: _Course, call: Guard, latents: Latents | None, local: Callable[[str], float], iteration: int) -> bool:
+    """Slope, length and curvature along the direction, which turns downhill if it isn't; False if there is none."""
+    c.slope = c.d @ c.g_new + local("gd")
+    if c.slope >= 0:
+        c.d = -c.g_new
+        if latents:
+            latents.put(d=F.transform("g_new", lambda v: -v))
+        c.slope = c.d @ c.g_new + local("gd")
+    c.length = c.d @ c.d + local("dd")
+    if c.length < np.finfo(float).eps ** 2:
+        return False
+    sigma, before = 1e-4 / math.sqrt(c.length), local("gd")
+    _, probe = call(c.x + sigma * c.d, latents, sigma, iteration, "curvature")
+    c.curvature = (c.d @ (probe - c.g_new) + (local("dl") - before)) / sigma
+    return True
+
+
+def _accept(c: _Course, step: float, f: float, g: np.ndarray, latents: Latents | None, local: Callable[[str], float]) -> tuple[float, float]:
+    """Move by step along the direction; the largest change of a coordinate and that of f."""
+    largest, change = max(np.abs(step * c.d).max(initial=0.0), abs(step) * local("max_d")), f - c.f
+    c.x, c.f, c.g_old, c.g_new = c.x + step * c.d, f, c.g_new, g
+    c.restart_in -= 1
+    if latents:
+        latents.put(x=axpy(F.col("x"), step, F.col("d")), g_old=F.col("g_new"), g_new=F.col("g_latest"))
+    return largest, change
+
+
+def _turn(c: _Course, latents: Latents | None, local: Callable[[str], float], reset_local: bool) -> None:
+    """The next direction: conjugate, or after as many successes as there are globals, downhill for these."""
+    if c.restart_in <= 0:
+        c.d, c.restart_in = -c.g_new, len(c.x)
+        if latents and reset_local:
+            latents.put(d=F.transform("g_new", lambda v: -v))
+        return
+    gamma = (c.g_old @ c.g_new - c.g_new @ c.g_new + local("go") - local("gg")) / c.slope
+    c.d = gamma * c.d - c.g_new
+    if latents:
+        latents.put(d=F.zip_with("d", "g_new", lambda a, b: a * F.lit(float(gamma)) - b))
+
+
+def scg(
+    objective: Objective, x: np.ndarray, latents: Latents | None = None, iterations: int = 100, xtol: float = 1e-6, ftol: float = 1e-6, gtol: float = 1e-5,
+    max_evaluations: int | None = 500, reset_local: bool = False, report: Callable[[str], None] | None = None,
+) -> Trace:
+    """Scaled conjugate gradients: the curvature along d from a gradient difference, the step from a trust factor.
+
+    An iteration is a trial, accepted or not; trials alone count as evaluations. report gets a line each.
+    """
+    trace = Trace(status="maximum of iterations reached")
     call = Guard(objective, trace)
     local = (lambda k: latents.dots().get(k, 0.0)) if latents else (lambda k: 0.0)
-    f_old, g_new = call(x, latents, 0.0, 0, "start")
-    g_old, d = g_new, -g_new
+    f, g = call(x, latents, 0.0, 0, "start")
+    c = _Course(x, f, g, g, -g, restart_in=len(x) or math.inf)
     if latents:
         latents.put(g_new=F.col("g_latest"), g_old=F.col("g_latest"), d=F.transform("g_latest", lambda v: -v))
-    trust, success, streak, evaluations = 1.0, True, 0, 1
-    mu = kappa = theta = 0.0
-    iteration, trials = 0, 0
-    trace.status = "maximum of iterations reached"
-    while iteration < iterations:
-        if success:
-            mu = d @ g_new + local("gd")
-            if mu >= 0:
-                d = -g_new
-                if latents:
-                    latents.put(d=F.transform("g_new", lambda v: -v))
-                mu = d @ g_new + local("gd")
-            kappa = d @ d + local("dd")
-            if kappa < np.finfo(float).eps ** 2:
-                trace.status = "no direction left"
-                break
-            sigma = 1e-4 / math.sqrt(kappa)
-            gd = local("gd")
-            _, g_probe = call(x + sigma * d, latents, sigma, iteration, "curvature")
-            theta = (d @ (g_probe - g_new) + (local("dl") - gd)) / sigma
-        delta = theta + trust * kappa
-        if delta <= 0:
-            delta, trust = trust * kappa, trust - theta / kappa
-        step = -mu / delta
-        f_new, g_latest = call(x + step * d, latents, step, iteration, "trial")
-        trials += 1
-        evaluations += 1
-        quality = 2 * (f_new - f_old) / (step * mu) if math.isfinite(f_new) else -math.inf
+    success = True
+    for iteration in range(iterations):
+        if success and not _aim(c, call, latents, local, iteration):
+            trace.status = "no direction left"
+            break
+        damped = c.curvature + c.trust * c.length
+        if damped <= 0:
+            damped, c.trust = c.trust * c.length, c.trust - c.curvature / c.length
+        step = -c.slope / damped
+        f, g = call(c.x + step * c.d, latents, step, iteration + 1, "trial")
+        if max_evaluations and iteration + 2 >= max_evaluations:
+            trace.status = "maximum of evaluations reached"
+            break
+        quality = 2 * (f - c.f) / (step * c.slope) if math.isfinite(f) else -math.inf
         success = quality >= 0
         if success:
-            x, change = x + step * d, f_new - f_old
-            largest = max(np.abs(step * d).max(initial=0.0), abs(step) * local("max_d"))
-            g_old, g_new, f_old = g_new, g_latest, f_new
-            if latents:
-                latents.put(x=axpy(F.col("x"), step, F.col("d")), g_old=F.col("g_new"), g_new=F.col("g_latest"))
-            iteration += 1
-            streak += 1
+            largest, change = _accept(c, step, f, g, latents, local)
+            gradient = c.g_new @ c.g_new + local("gg")
+            _line(report, iteration + 1, c.f, gradient, c.trust)
             if largest < xtol or abs(change) < ftol:
                 trace.status = "converged"
                 break
-            if g_new @ g_new + local("gg") <= gtol:
+            if gradient <= gtol:
                 trace.status = "converged by gradient"
                 break
-        if max_evaluations and evaluations >= max_evaluations:
-            trace.status = "maximum of evaluations reached"
-            break
-        if trials > 20 * iterations + 100:
-            trace.status = "no further success"
-            break
+        else:
+            _line(report, iteration + 1, c.f, c.g_new @ c.g_new + local("gg"), c.trust)
         if quality < 0.25:
-            trust = min(4 * trust, 1e100)
+            c.trust = min(4 * c.trust, 1e100)
         elif quality > 0.75:
-            trust = max(trust / 2, 1e-60)
-        if streak == max(1, len(x)):
-            d, streak = -g_new, 0
-            if latents and reset_local:
-                latents.put(d=F.transform("g_new", lambda v: -v))
-        elif success:
-            gamma = (g_old @ g_new - g_new @ g_new + local("go") - local("gg")) / mu
-            d = gamma * d - g_new
-            if latents:
-                latents.put(d=F.zip_with("d", "g_new", lambda a, b: a * F.lit(float(gamma)) - b))
-    trace.x, trace.f = x, f_old
+            c.trust = max(c.trust / 2, 1e-60)
+        if success:
+            _turn(c, latents, local, reset_local)
+    trace.x, trace.f = c.x, c.f
     return trace
 
 
-def gd(objective: Objective, x: np.ndarray, latents: Latents | None = None, iterations: int = 100, step: float = 0.01, momentum: float = 0.0, xtol: float = 1e-16, ftol: float = 1e-6, gtol: float = 1e-6) -> Trace:
-    """Gradient descent whose step doubles when accepted and halves when not; rejected steps aren't iterations."""
-    trace = Trace()
+def gd(
+    objective: Objective, x: np.ndarray, latents: Latents | None = None, iterations: int = 100, step: float = 0.01, momentum: float = 0.0, xtol: float = 1e-16, ftol: float = 1e-6, gtol: float = 1e-6,
+    report: Callable[[str], None] | None = None,
+) -> Trace:
+    """Gradient descent whose step doubles when accepted and halves when not; rejected steps aren't iterations.
+
+    It ends when a trial changes f by less than ftol, before that trial counts, when the step is under xtol, or when no number of the
+    gradient is over gtol. Momentum is that share of the step just made.
+    """
+    trace = Trace(status="maximum of iterations reached")
     call = Guard(objective, trace)
     f_old, g = call(x, latents, 0.0, 0, "start")
-    d = -g
+    d, iteration = -g, 0
     if latents:
         latents.put(g_new=F.col("g_latest"), d=F.transform("g_latest", lambda v: -v))
-    trace.status = "maximum of iterations reached"
-    iteration = rejected = 0
     while iteration < iterations:
-        f, g_latest = call(x + step * d, latents, step, iteration, "trial")
-        if f > f_old:
-            step /= 2
-            rejected += 1
-            if rejected > 100:
-                trace.status = "no further success"
-                break
-            continue
-        rejected = 0
-        sums = latents.dots() if latents else {}
-        x, change = x + step * d, f_old - f
-        largest = step * max(np.abs(d).max(initial=0.0), sums.get("max_d", 0.0))
-        if latents:
-            latents.put(x=axpy(F.col("x"), step, F.col("d")), g_new=F.col("g_latest"), d=F.zip_with("g_latest", "d", lambda a, b: -(a + F.lit(momentum) * b)))
-        f_old, g = f, g_latest
-        d = -(g + momentum * d)
-        step *= 2
-        iteration += 1
-        if change < ftol or largest < xtol or np.abs(g).sum() + sums.get("sum_l", 0.0) < gtol:
+        f, latest = call(x + step * d, latents, step, iteration, "trial")
+        if abs(f_old - f) < ftol or step < xtol:
             trace.status = "converged"
             break
+        if f <= f_old:
+            kept = momentum * step
+            if latents:
+                latents.put(x=axpy(F.col("x"), step, F.col("d")), g_new=F.col("g_latest"), d=F.zip_with("g_latest", "d", lambda a, b: -(a + F.lit(float(kept)) * b)))
+            x, f_old, g = x + step * d, f, latest
+            d, step, iteration = -(g + kept * d), 2 * step, iteration + 1
+            sums = latents.dots() if latents else {}
+            if max(np.abs(g).max(initial=0.0), sums.get("max_l", 0.0)) < gtol:
+                trace.status = "converged by gradient"
+                break
+            _line(report, iteration, f_old, np.abs(g).sum() + sums.get("sum_l", 0.0), step)
+        else:
+            step /= 2
+            _line(report, iteration, f_old, np.abs(g).sum(), step)
     trace.x, trace.f = x, f_old
     return trace

@@ -2,18 +2,19 @@
 
 Two forms. The column form is one aggregation of unrolled expressions, for few inducing points. The block form
 computes Arrow batches with numpy and sums one row a task, for any number; rows are taken in
-chunks so that the M x M tensors stay small. Both give the same sums.
+chunks so that what they have with pairs of inducing points stays small. Both give the same sums.
 
-Rows: y, mu, s as array<double>. With free latents s is the variance itself, already positive.
+Rows: y, mu, s as array<double>. With free latents s is the variance itself, already positive. No rows give sums of 0; a
+missing array or number, or another width, is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from quillon.functions.kernels import psi1, psi2
 from quillon.functions.scalar import dot
 from quillon.plans.model import Params, Stats
 
-#: Doubles of one chunk's largest tensor.
-TENSOR = 1 << 21
+#: Doubles of one chunk's largest matrix.
+TENSOR = 1 << 20
 
 
 def kl_row(mu: Column, s: Column, q: int) -> Column:
@@ -76,24 +77,74 @@ def merge(shares: DataFrame, kept: float = 1.0) -> DataFrame:
     return shares.groupBy("stat", "i", "j", "k").agg((F.sum("v") / kept).alias("v"))
 
 
+@dataclass(frozen=True)
+class Expected:
+    """Kernel expectations of a chunk of rows: `one` by inducing point, `two` by pair of them (i <= j)."""
+
+    den1: np.ndarray
+    den2: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+    i: np.ndarray
+    j: np.ndarray
+    mid: np.ndarray  # the pairs' midpoints
+
+    @classmethod
+    def of(cls, mu: np.ndarray, s: np.ndarray, p: Params) -> Expected:
+        """All products of rows and points are products of matrices."""
+        i, j = np.triu_indices(p.m)
+        mid, apart = (p.z[i] + p.z[j]) / 2, p.z[i] - p.z[j]
+        den1, den2 = p.alpha * s + 1, 2 * p.alpha * s + 1
+
+        def gaps(weight: np.ndarray, points: np.ndarray) -> np.ndarray:
+            """Sum over dimensions of weight * (mu - point)**2; taken from the points' mean, so that no digits are lost."""
+            centre = points.mean(0)
+            x, c = mu - centre, points - centre
+            return np.maximum((weight * x * x).sum(1)[:, None] - 2 * (weight * x) @ c.T + weight @ (c * c).T, 0.0)
+
+        one = p.sf2 * np.exp(-0.5 * gaps(p.alpha / den1, p.z)) / np.sqrt(den1.prod(1))[:, None]
+        two = p.sf2**2 * np.exp(-gaps(p.alpha / den2, mid) - 0.25 * (apart**2 @ p.alpha)) / np.sqrt(den2.prod(1))[:, None]
+        return cls(den1, den2, one, two, i, j, mid)
+
+
+def chunk(p: Params) -> int:
+    """Rows that are computed at once."""
+    return max(1, TENSOR // (p.m * (p.m + 1) // 2 + p.m))
+
+
 def block(y: np.ndarray, mu: np.ndarray, s: np.ndarray, p: Params, gradients: bool = True, kl: bool = False) -> Stats:
     """The sums of a chunk of rows."""
     n, d = y.shape
-    den1, den2 = p.alpha * s + 1, 2 * p.alpha * s + 1
-    gap = (mu[:, None] - p.z) / den1[:, None]  # over den1
-    one = p.sf2 * np.exp(-0.5 * np.einsum("imq,imq,q,iq->im", gap, gap, p.alpha, den1)) / np.sqrt(den1.prod(1))[:, None]
-    apart = p.z[:, None] - p.z[None]
-    mid = (2 * mu[:, None, None] - (p.z[:, None] + p.z[None])) / den2[:, None, None]
-    two = p.sf2**2 * np.exp(-0.25 * (apart**2 @ p.alpha) - 0.25 * np.einsum("imkq,imkq,q,iq->imk", mid, mid, p.alpha, den2)) / np.sqrt(den2.prod(1))[:, None, None]
-    out = Stats(n, d, float((y * y).sum()), p.sf2 * n, two.sum(0), one.T @ y, float(0.5 * ((s - np.log(s)).sum() + (mu * mu).sum() - n * p.q)) if kl else 0.0)
+    e = Expected.of(mu, s, p)
+
+    def square(v: np.ndarray) -> np.ndarray:
+        """The symmetric matrix, or the stack of them over the last axis, of values by pair."""
+        out = np.zeros((p.m, p.m, *v.shape[1:]))
+        out[e.i, e.j] = out[e.j, e.i] = v
+        return out
+
+    psi2 = square(e.two.sum(0))
+    out = Stats(n, d, float((y * y).sum()), p.sf2 * n, psi2, e.one.T @ y, float(0.5 * ((s - np.log(s)).sum() + (mu * mu).sum() - n * p.q)) if kl else 0.0)
     if not gradients:
         return out
+    apart = p.z[:, None] - p.z[None]
+
+    def with_y(weight: np.ndarray) -> np.ndarray:
+        """Sum over rows of one[m] * weight[q] * y[d]."""
+        return (e.one.T @ (weight[:, :, None] * y[:, None, :]).reshape(n, p.q * d)).reshape(p.m, p.q, d)
+
+    z = p.z[:, :, None]
+    gap = with_y(mu / e.den1) - z * with_y(1 / e.den1)
+    gap2 = with_y((mu / e.den1) ** 2 + s / e.den1) - 2 * z * with_y(mu / e.den1**2) + z**2 * with_y(1 / e.den1**2)
+    two = e.two.T
+    mid = 2 * (two @ (mu / e.den2) - e.mid * (two @ (1 / e.den2)))
+    mid2 = 4 * (two @ (mu / e.den2) ** 2 - 2 * e.mid * (two @ (mu / e.den2**2)) + e.mid**2 * (two @ (1 / e.den2**2)))
     return replace(
         out,
-        psi1y_dz=np.einsum("im,imq,id->mqd", one, gap * p.alpha, y),
-        psi2_dz=0.5 * p.alpha[:, None] * (np.einsum("imk,imkq->mqk", two, mid) - np.einsum("mk,mkq->mqk", out.psi2, apart)),
-        psi1y_dalpha=-0.5 * np.einsum("im,imq,id->qmd", one, gap**2 + (s / den1)[:, None], y),
-        psi2_dalpha=-0.25 * np.einsum("mk,mkq->qmk", out.psi2, apart**2) - 0.25 * np.einsum("imk,imkq->qmk", two, mid**2) - np.einsum("imk,iq->qmk", two, s / den2),
+        psi1y_dz=p.alpha[:, None] * gap,
+        psi2_dz=(0.5 * p.alpha * (square(mid) - psi2[:, :, None] * apart)).transpose(0, 2, 1),
+        psi1y_dalpha=-0.5 * gap2.transpose(1, 0, 2),
+        psi2_dalpha=(-0.25 * psi2[:, :, None] * apart**2 - 0.25 * square(mid2) - square(two @ (s / e.den2))).transpose(2, 0, 1),
     )
 
 
@@ -108,25 +159,30 @@ def _stats(v: np.ndarray, p: Params, d: int, gradients: bool) -> Stats:
     return Stats(own[0], d, *own[1:])
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float)
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The rows of a list column."""
+    values = column.flatten()
+    if column.null_count or values.null_count or len(values) != len(column) * width or (np.diff(column.offsets.to_numpy()) != width).any():
+        raise ValueError(f"rows with missing values, or not of {width} numbers")
+    return values.to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def accumulate(rows: DataFrame, p: Params, d: int, gradients: bool = True, kl: bool = False) -> Stats:
     """Block form over all rows: one job; every task sends one row of sums, which are added on executors."""
-    size = max(1, TENSOR // (p.m * p.m * p.q))
-    empty = len(_flat(block(np.zeros((1, d)), np.zeros((1, p.q)), np.ones((1, p.q)), p, gradients)))
+    size = chunk(p)
+    cells = len(_flat(block(np.zeros((1, d)), np.zeros((1, p.q)), np.ones((1, p.q)), p, gradients)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(empty)
-        for frame in batches:
-            y, mu, s = (_matrix(frame[c]) for c in ("y", "mu", "s")) if len(frame) else (np.zeros((0, d)), np.zeros((0, p.q)), np.zeros((0, p.q)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells)
+        for batch in batches:
+            y, mu, s = (matrix(batch.column(k), width) for k, width in enumerate((d, p.q, p.q)))
             for a in range(0, len(y), size):
                 total += _flat(block(y[a : a + size], mu[a : a + size], s[a : a + size], p, gradients, kl))
-        yield pd.DataFrame({"at": np.arange(empty, dtype=np.int32), "v": total})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells, dtype=np.int32)), pa.array(total)], names=["at", "v"])
 
-    sums = rows.select("y", "mu", "s").mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(empty)
+    real = [F.col(c).cast("array<double>").alias(c) for c in ("y", "mu", "s")]
+    sums = rows.select(*real).mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(cells)
     out[sums["at"].to_numpy()] = sums["v"].to_numpy()
     return _stats(out, p, d, gradients)
 

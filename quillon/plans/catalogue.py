@@ -17,6 +17,7 @@ from quillon.operators.bound import Algebra
 from quillon.plans import oracle as O
 from quillon.plans.model import FitConfig, Params
 from quillon.sources import tables
+from quillon.streaming import accumulate as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,9 +81,28 @@ def split_balanced(spark, d):
     return shards.groupBy("shard").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query()
+def _scrambled(key: str, seed: int) -> str:
+    x = f"(({key} + {seed}) % 2147483646 + 1)"
+    for _ in range(3):
+        x = f"({x} * 48271 % 2147483647)"
+    return x
+
+
+@query(f"select o_orderkey, cast({_scrambled('o_orderkey', 7)} % 8 as int) as shard from orders")
 def split_random(spark, d):
-    return tables.split_random(tables.parquet(spark, d, "orders").select("o_orderkey"), 8, 7)
+    return tables.split_random(tables.parquet(spark, d, "orders").select("o_orderkey"), "o_orderkey", 8, 7)
+
+
+@query(f"select vec_id as row_id, cast(i - 1 as int) as i, cast(embedding[i] as double) as v, cast({_scrambled('vec_id', 3)} % 4 as int) as shard from embeddings, (select unnest([1, 2]) as i)")
+def split_latents(spark, d):
+    rows = vectors(spark, d)
+    latents_ = rows.select("row_id", F.slice("y", 1, 2).alias("mu"))
+    return tables.split_latents(latents_, tables.split_random(rows.drop("shard"), "row_id", 4, 3)).select("row_id", F.posexplode("mu").alias("i", "v"), "shard")
+
+
+@query(f"select vec_id as row_id from embeddings order by {_scrambled('vec_id', 5)}, vec_id limit 10")
+def random_rows(spark, d):
+    return initialise.random_rows(vectors(spark, d), 10, 5).select("row_id")
 
 
 @query("select vec_id as row_id, label as shard from embeddings")
@@ -102,6 +122,13 @@ def synthetic_rows(spark, d):
     return tables.generate(spark, 1000).select("row_id", F.posexplode("y").alias("i", "v"))
 
 
+@query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, count(*) as n, round(sum(value), 2) as total, round(sum(value * value), 4) as squares from events group by 1")
+def windowed_events(spark, d):
+    """The streaming operator on a finished table."""
+    sums = stream.windowed(tables.parquet(spark, d, "events"), "ts", "value", "1 hour", "1 day")
+    return sums.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n", F.round("total", 2).alias("total"), F.round("squares", 4).alias("squares"))
+
+
 # --- scalar functions
 
 _E = "from events"
@@ -169,10 +196,9 @@ def col_moments(spark, d):
     return cells.groupBy("i").agg(F.round(F.avg("x"), 8).alias("mean"), F.round(F.stddev_pop("x"), 8).alias("deviation"))
 
 
-@query("select i, j, round(covar_pop(cast(embedding[i + 1] as double), cast(embedding[j + 1] as double)), 8) as v from embeddings, (select cast(a as int) as i, cast(b as int) as j from (select unnest(generate_series(0, 7)) as a), (select unnest(generate_series(0, 7)) as b)) group by i, j")
+@query("select i, j, round(covar_pop(cast(embedding[i + 1] as double), cast(embedding[j + 1] as double)), 8) as v from embeddings, (select cast(a as int) as i, cast(b as int) as j from (select unnest(generate_series(0, 63)) as a), (select unnest(generate_series(0, 63)) as b)) group by i, j")
 def cov_matrix(spark, d):
-    _, _, cov = initialise.moments(vectors(spark, d), 8)
-    return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(8) for j in range(8)], "i int, j int, v double").withColumn("v", F.round("v", 8))
+    return _matrix(spark, initialise.moments(vectors(spark, d), 64)[2], 8)
 
 
 # --- kernels
@@ -348,6 +374,43 @@ def grad_s(spark, d):
     return _row_gradients(spark, d).select("row_id", *(F.round(F.get("grad_s", F.lit(q)), 5).alias(f"g{q}") for q in (0, 1)))
 
 
+# --- block form with ten inducing points and seven outputs
+
+TEN = Params(np.array([[np.sin(1.7 * m + 1), np.cos(2.3 * m)] for m in range(10)]), 1.3, np.array([0.8, 1.4]), 2.0)
+_SEVEN = """L as (select vec_id as row_id, list_transform(embedding[1:7], lambda x: 4 * cast(x as double)) as y, 6 * cast(embedding[20] as double) as x0, 6 * cast(embedding[30] as double) as x1, 0.3 as s from embeddings),
+z as (select cast(m as int) as m, sin(1.7 * m + 1) as z0, cos(2.3 * m) as z1 from (select unnest(generate_series(0, 9)) as m)),
+one as (select row_id, m, y, x0, x1, s, z0, z1, 0.8 * s + 1 as e0, 1.4 * s + 1 as e1,
+  1.3 * exp(-0.5 * (0.8 * (z0 - x0) * (z0 - x0) / (0.8 * s + 1) + 1.4 * (z1 - x1) * (z1 - x1) / (1.4 * s + 1))) / sqrt((0.8 * s + 1) * (1.4 * s + 1)) as k from L, z),
+two as (select row_id, a.m as i, b.m as j, x0, x1, s, a.z0 - b.z0 as d0, a.z1 - b.z1 as d1, 1.6 * s + 1 as e0, 2.8 * s + 1 as e1, (2 * x0 - a.z0 - b.z0) / (1.6 * s + 1) as c0, (2 * x1 - a.z1 - b.z1) / (2.8 * s + 1) as c1,
+  1.69 * exp(-0.25 * (0.8 * (a.z0 - b.z0) * (a.z0 - b.z0) + 1.4 * (a.z1 - b.z1) * (a.z1 - b.z1)) - 0.8 * pow(x0 - (a.z0 + b.z0) / 2, 2) / (1.6 * s + 1) - 1.4 * pow(x1 - (a.z1 + b.z1) / 2, 2) / (2.8 * s + 1)) / sqrt((1.6 * s + 1) * (2.8 * s + 1)) as k
+  from L, z a, z b)"""
+
+
+def seven(spark, d):
+    y = F.col("y")
+    return vectors(spark, d).select("row_id", F.transform(F.slice(y, 1, 7), lambda v: 4 * v).alias("y"), F.array(6 * y[19], 6 * y[29]).alias("mu"), F.array(F.lit(0.3), F.lit(0.3)).alias("s"))
+
+
+def _blocks(name: str, stat: str, sql: str) -> None:
+    def run(spark, d):
+        v = np.asarray(getattr(st.accumulate(seven(spark, d), TEN, 7, True, True), stat), float)
+        cells = [(*ix, *[0] * (3 - len(ix)), float(v[ix])) for ix in np.ndindex(*v.shape)]
+        return spark.createDataFrame(cells, "i int, j int, k int, v double").withColumn("v", F.round("v", 6))
+
+    run.__name__ = name
+    query(f"with {_SEVEN} {sql}")(run)
+
+
+_Y = "from one, (select cast(unnest(generate_series(0, 6)) as int) as d)"
+_blocks("blocks_psi2", "psi2", "select i, j, 0 as k, round(sum(k), 6) as v from two group by i, j")
+_blocks("blocks_psi1y", "psi1y", f"select m as i, d as j, 0 as k, round(sum(k * y[d + 1]), 6) as v {_Y} group by m, d")
+_blocks("blocks_kl", "kl", "select 0 as i, 0 as j, 0 as k, round(sum(0.5 * (2 * (s - ln(s)) + x0 * x0 + x1 * x1 - 2)), 6) as v from L")
+_blocks("blocks_psi1y_dz", "psi1y_dz", " union all ".join(f"select m as i, {q} as j, d as k, round(sum(k * {a} * (x{q} - z{q}) / e{q} * y[d + 1]), 6) as v {_Y} group by m, d" for q, a in enumerate(TEN.alpha.tolist())))
+_blocks("blocks_psi2_dz", "psi2_dz", " union all ".join(f"select i, {q} as j, j as k, round(sum(k * 0.5 * {a} * (c{q} - d{q})), 6) as v from two group by i, j" for q, a in enumerate(TEN.alpha.tolist())))
+_blocks("blocks_psi1y_dalpha", "psi1y_dalpha", " union all ".join(f"select {q} as i, m as j, d as k, round(sum(-0.5 * k * (pow((x{q} - z{q}) / e{q}, 2) + s / e{q}) * y[d + 1]), 6) as v {_Y} group by m, d" for q in (0, 1)))
+_blocks("blocks_psi2_dalpha", "psi2_dalpha", " union all ".join(f"select {q} as i, i as j, j as k, round(sum(k * (-0.25 * d{q} * d{q} - 0.25 * c{q} * c{q} - s / e{q})), 6) as v from two group by i, j" for q in (0, 1)))
+
+
 # --- optimiser state: quarters of the vectors stand for gradients and direction
 
 
@@ -441,6 +504,24 @@ def pca_2d(spark, d):
     return spark.createDataFrame([(float(high), float(low))], "first double, second double").select(F.round("first", 8).alias("first"), F.round("second", 8).alias("second"))
 
 
+_SCORES = f"""with {O.CUSTOMERS}, c as (select avg(y0) as m0, avg(y1) as m1, var_pop(y0) as a, covar_pop(y0, y1) as b, var_pop(y1) as c from L),
+e as (select *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) as top from c),
+w as (select *, sqrt(b * b + (top - a) * (top - a)) as n, case when abs(b) >= abs(top - a) then sign(b) else sign(top - a) end as g from e)
+select row_id, round(g * (b * (y0 - m0) + (top - a) * (y1 - m1)) / n / sqrt(top), 6) as v from L, w"""
+
+
+@query(_SCORES)
+def pca_scores_2d(spark, d):
+    """Whitened scores on the leading axis of two outputs, for which SQL has a closed form."""
+    return initialise.pca(customers(spark, d).drop("mu", "s"), 2, 1).select("row_id", F.round(F.get("mu", F.lit(0)), 6).alias("v"))
+
+
+@query(_SCORES)
+def ppca_scores_2d(spark, d):
+    """With one latent dimension, probabilistic scores are those of PCA once their deviation is 1."""
+    return initialise.ppca(customers(spark, d).drop("mu", "s"), 2, 1).select("row_id", F.round(F.get("mu", F.lit(0)), 6).alias("v"))
+
+
 @query()
 def pca_scores(spark, d):
     return _unfold(initialise.pca(vectors(spark, d), 64, 2), F.col("mu"))

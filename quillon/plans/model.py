@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -93,5 +94,10 @@ class FitConfig:
     seed: int = 0
     keep_history: bool = False
     reset_local: bool = False
-    max_evaluations: int | None = None
+    #: Trial points of conjugate gradients at most; None: no limit.
+    max_evaluations: int | None = 500
+    #: Where inducing points come from: "kmeans" centres of the latents, or "random" rows.
+    inducing_choice: str = "kmeans"
+    #: Gets a line of progress for each trial, e.g. print.
+    report: Callable[[str], None] | None = None
     tolerances: dict[str, float] = field(default_factory=lambda: {"x": 0.0, "f": 0.0, "g": 0.0})

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions.scalar import scrambled
 from quillon.plans.model import Params
 
 
@@ -69,8 +70,14 @@ def split_balanced(rows: DataFrame, key: str, shards: int) -> DataFrame:
     return rows.withColumn("shard", F.pmod(F.col(key), F.lit(shards)).cast("int"))
 
 
-def split_random(rows: DataFrame, shards: int, seed: int) -> DataFrame:
-    return rows.withColumn("shard", F.floor(F.rand(seed) * shards).cast("int"))
+def split_random(rows: DataFrame, key: str, shards: int, seed: int) -> DataFrame:
+    """A shard for each row, chosen by a hash of its key: the same one however often, and wherever, it is computed."""
+    return rows.withColumn("shard", (scrambled(F.col(key), seed) % shards).cast("int"))
+
+
+def split_latents(latents: DataFrame, rows: DataFrame, key: str = "row_id") -> DataFrame:
+    """Given latents (key, mu and perhaps s) with the shard that their rows are in: by key, never by position. Rows without latents are left out."""
+    return latents.drop("shard").join(rows.select(key, "shard"), key)
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

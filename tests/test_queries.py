@@ -25,6 +25,6 @@ def test_against_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["split_random", "synthetic_rows", "pca_scores", "fit_gd"])
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES.keys() - catalogue.ORACLES.keys()))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0

@@ -1,3 +1,6 @@
+import datetime
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ def test_splits(spark, tmp_path):
     rows = tables.generate(spark, 40)
     counts = [r["count"] for r in tables.split_balanced(rows, "row_id", 4).groupBy("shard").count().collect()]
     assert counts == [10] * 4
-    assert {r.shard for r in tables.split_random(rows, 3, 1).collect()} <= {0, 1, 2}
+    assert {r.shard for r in tables.split_random(rows, "row_id", 3, 1).collect()} <= {0, 1, 2}
     tables.write_shards(tables.split_balanced(rows, "row_id", 4), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted(r.y for r in back.collect()) == sorted(r.y for r in rows.collect())
@@ -59,3 +62,22 @@ def test_stream(spark, tmp_path):
     got = st.from_long(accumulate.total(spark, str(tmp_path / "out")), p, 3)
     want = st.accumulate(spark.read.parquet(str(tmp_path / "in")), p, 3, False)
     assert got.n == want.n == 60 and got.psi2 == pytest.approx(want.psi2) and got.psi1y == pytest.approx(want.psi1y)
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    """Rows later than the watermark are left out, others are counted in their window."""
+    def events(name, rows):
+        spark.createDataFrame([(datetime.datetime(2024, 1, 1, h, m), v) for h, m, v in rows], "ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    events("e", [(1, 5, 1.0), (1, 50, 2.0), (2, 10, 4.0)])
+    time.sleep(1.1)  # files are taken in the order of their times
+    events("e", [(9, 0, 8.0)])
+    time.sleep(1.1)
+    events("e", [(9, 10, 1.0)])  # a batch's watermark holds for what is late in the next one but one
+    time.sleep(1.1)
+    events("e", [(1, 30, 100.0), (8, 30, 16.0), (23, 0, 0.0)])
+    source = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+    sums = accumulate.windowed(source, "ts", "value", "1 hour", "2 hours").select(F.hour("window.start").alias("hour"), "n", "total", "squares")
+    sums.writeStream.format("parquet").option("path", str(tmp_path / "w")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = {r.hour: (r.n, r.total, r.squares) for r in spark.read.parquet(str(tmp_path / "w")).collect()}
+    assert got == {1: (2, 3.0, 5.0), 2: (1, 4.0, 16.0), 8: (1, 16.0, 256.0), 9: (2, 9.0, 65.0)}
