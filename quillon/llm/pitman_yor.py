@@ -376,7 +376,7 @@ def _context(v: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 def _coded(table: DataFrame, m: Model, total: int) -> tuple[DataFrame, int, int]:
     """The chunks with numbered words and the documents' base scores, as a table; tokens learned from; vocabulary."""
-    n = C.buckets(total, C.grown(total, 8 << 20, 64 << 20))
+    n = C.buckets(total, C.grown(total, 8 << 20, 16 << 20))
 
     def words(batch: pa.RecordBatch, i: int):
         texts, ids = _texts(batch, i)
@@ -480,7 +480,7 @@ def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str
     coded, trained, vocabulary = _coded(table, m, total)
     drop_table(table)
     starts = docs.select(F.col(doc_id)).where(F.col(doc_id).isNotNull() & (F.crc32(F.col(doc_id).cast("string").cast("binary")) % m.folds != 0)).count()
-    n = C.buckets(total, C.grown(total, 8 << 20, 64 << 20))
+    n = C.buckets(total, C.grown(total, 8 << 20, 16 << 20))
 
     def first(group: pa.Table) -> pa.Table:
         """Single-word contexts, seated over a root of plain counts: the root's customers by buckets of words."""

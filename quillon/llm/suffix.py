@@ -5,12 +5,13 @@ holds an anchor: a gram that is the least by hash among the string's grams. Anch
 has can't lie in a repeat; chunks learn by bucket which others there are. The contexts of those, all that
 a string around the anchor can cover, form the shards' texts, each distinct context once. A shard's suffix
 array is made by induced sorting: suffixes are classified, leftmost-smaller substrings sorted (recursively where
-their names repeat), and the rest induced from them, in waves of what is already placed. Neighbours that
-agree for the whole span, by permuted common prefixes, make a class; its least document id goes back
+their names repeat), and the rest induced from them, in waves of what is already placed. Permuted common prefixes follow:
+only where a suffix and its neighbour come after different bytes are they compared. Neighbours that agree for the whole span make a class; its least document id goes back
 to every chunk that has the context.
 
 Null text counts as empty. Null ids count as larger than any: such rows lose what documents with ids hold, and
-cost none a byte. Rows that share an id don't affect each other. Matches never cross documents.
+cost none a byte. Rows that share an id don't affect each other. Matches never cross documents. Ids must fit 64 bits. Only the
+id and the text are read: extra columns of any name don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -152,14 +153,34 @@ def _names(text: np.ndarray, left: np.ndarray, order: np.ndarray) -> tuple[np.nd
     return names, int(rank[-1]) + 1
 
 
-def common_prefix_reaches(data: np.ndarray, places: np.ndarray, other: np.ndarray, span: int) -> np.ndarray:
-    """Whether the suffixes at places (in text order) and at other agree for span bytes; data has 8 more."""
-    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
-    same, open_ = np.zeros(len(places), bool), np.arange(len(places))
-    for at in [*range(0, span - 7, 8), *([span - 8] if span % 8 else [])]:
-        open_ = open_[words[places[open_] + at] == words[other[open_] + at]]
-    same[open_] = True
-    return same
+def common_prefixes(data: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """How many bytes each suffix of the array has in common with the one before it. data: bytes, whose suffixes, and the empty one, the array orders.
+
+    They are found in the order of the text (permuted). Where a suffix and its neighbour follow the same byte, so do those that begin
+    with this byte: they are neighbours with one byte more in common. So only the others, the irreducible ones, are compared.
+    """
+    n = len(array)
+    before = np.full(n, -1, np.int64)
+    before[array[1:]] = array[:-1]
+    place = np.arange(n)
+    both = np.flatnonzero((before > 0) & (place > 0))
+    reducible = np.zeros(n, bool)
+    reducible[both] = data[both - 1] == data[before[both] - 1]
+    words = np.ndarray((n,), "<u8", np.append(data, np.zeros(9, np.uint8)).tobytes(), strides=(1,))
+    common, open_, at = np.zeros(n, np.int64), np.flatnonzero(~reducible & (before >= 0)), 0
+    most = n - 1 - np.maximum(place, before)  # up to the end of the text
+    while len(open_):
+        open_ = open_[most[open_] > at]
+        unlike = words[place[open_] + at] ^ words[before[open_] + at]
+        ends = unlike != 0
+        own = unlike[ends]
+        common[open_[ends]] = at + np.bitwise_count((own & (~own + np.uint64(1))) - np.uint64(1)) // 8
+        open_ = open_[~ends]
+        at += 8
+        common[open_] = at
+    np.minimum(common, most, out=common)
+    last = np.maximum.accumulate(np.where(reducible, 0, place))
+    return (common[last] - (place - last))[array]
 
 
 def least_of_classes(contexts: np.ndarray, least: np.ndarray, p: Repeats) -> np.ndarray:
@@ -185,19 +206,14 @@ def _sorted_classes(contexts: np.ndarray, whole: np.ndarray, least: np.ndarray,
     out = np.full((rows, p.window), C.NO_ID, np.int64)
     row, at = np.divmod(array, width + 1)
     inside = (row < rows) & (at < p.window)
-    row, at = row[inside], at[inside]
-    own = whole[row, at]
-    row, at = row[own], at[own]
-    if not len(row):
+    inside[inside] = whole[row[inside], at[inside]]
+    kept = np.flatnonzero(inside)
+    if not len(kept):
         return out
-    place = row.astype(np.int64) * (width + 1) + at
-    before = np.empty_like(place)
-    before[0], before[1:] = place[0], place[:-1]
-    in_text = np.argsort(place)  # the permuted order: neighbours by place, for reads that run along the text
-    reaches = np.empty(len(place), bool)
-    reaches[in_text] = common_prefix_reaches(np.append(joined.ravel(), np.zeros(8, np.uint8)), place[in_text], before[in_text], p.span)
-    reaches[0] = False
-    first = np.flatnonzero(~reaches)
+    # Of two spans that aren't next to each other in the array, all between them have as much in common.
+    common = np.minimum.reduceat(common_prefixes(joined.ravel(), array)[: kept[-1] + 1], np.append(0, kept[:-1] + 1))
+    row, at = row[kept], at[kept]
+    first = np.flatnonzero(np.append(True, common[1:] < p.span))
     out[row, at] = np.repeat(np.minimum.reduceat(least[row], first), np.diff(first, append=len(row)))
     return out
 

@@ -65,3 +65,17 @@ def test_suffix_array(values):
     text = np.array([*values, 0], np.int32)
     want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
     assert suffix.suffix_array(text, 5).tolist() == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=80), st.integers(1, 4))
+def test_common_prefixes(values, times):
+    data = np.array(values * times, np.uint8)
+    array = suffix.suffix_array(np.append(data.astype(np.int32) + 1, 0).astype(np.int32), 257)
+    want = [0]
+    for a, b in zip(array[:-1].tolist(), array[1:].tolist()):
+        k = 0
+        while max(a, b) + k < len(data) and data[a + k] == data[b + k]:
+            k += 1
+        want.append(k)
+    assert suffix.common_prefixes(data, array).tolist() == want[: len(array)]
