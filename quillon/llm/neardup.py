@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import drop_table, materialize, small
@@ -124,8 +124,12 @@ def signature(s: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> tuple[b
     return (low >> np.uint64(48)).astype(">u2").tobytes(), np.packbits(two).tobytes()
 
 
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def sign(docs: DataFrame, p: Forest, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (a 128-bit digest of the set; null if empty), sig, sketch."""
+    """doc_id, sha (of the text), n_shingles, node (a 128-bit digest of the set; null if empty), sig, sketch."""
     draw = np.random.default_rng(p.seed)
     factors, shifts = draw.integers(0, 1 << 63, p.values, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, p.values, dtype=np.uint64)
 
@@ -137,11 +141,12 @@ def sign(docs: DataFrame, p: Forest, doc_id: str = "doc_id", text: str = "text")
                 n.append(len(s))
                 node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s, factors, shifts) if len(s) else (None, None))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), *(pa.array([x[k] for x in sig], pa.binary()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "sig", "sketch"])
+            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), *(pa.array([x[k] for x in sig], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sha", "n_shingles", "node", "sig", "sketch"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node binary, sig binary, sketch binary")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _sha(F.col(text)).alias("sha"))
+    return own.mapInArrow(run, f"doc_id {kind}, sha binary, n_shingles bigint, node binary, sig binary, sketch binary")
 
 
 # --- candidates
@@ -466,8 +471,8 @@ def _settle(meetings: DataFrame, joined: DataFrame, nodes: DataFrame, docs: Data
     return links
 
 
-def classify(docs: DataFrame, p: Forest = Forest(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept: a row for each of docs."""
+def _classes(docs: DataFrame, p: Forest, doc_id: str, text: str) -> DataFrame:
+    """doc_id, sha, n_shingles, node, component_id: a row for each of docs; node is null without id or words."""
     signed = materialize(sign(docs, p, doc_id, text), "signed")
     nodes = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n_shingles", "sig", "sketch")).alias("s"))
     nodes = materialize(nodes.select("node", "doc_id", "s.*"), "nodes")
@@ -502,18 +507,31 @@ def classify(docs: DataFrame, p: Forest = Forest(), doc_id: str = "doc_id", text
     classes = materialize(joined.join(small(least), "component").select("node", "component_id"), "classes")
     own = nodes.select("node", F.col("doc_id").alias("first")).join(classes, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
     own = materialize(own, "classes")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(own, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = signed.select("doc_id", "sha", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(own, "node", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def classify(docs: DataFrame, p: Forest = Forest(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept: a row for each of docs."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _classes(docs, p, doc_id, text).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def deduplicate(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
-    """One document of each component: that of the smallest id; of repeated rows of an id, one."""
-    gone = classify(docs, p).where("not kept").select("doc_id").distinct()
-    gone = materialize(gone, "gone")
-    left = docs.join(small(gone), "doc_id", "left_anti")
-    often = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    often = materialize(often, "often")
+    """One document of each component: that of the smallest id. Of repeated rows, one; rows that share an id but not the text are judged each."""
+    classes = materialize(_classes(docs, p, "doc_id", "text"), "classes")
+    linked = classes.where(F.col("node").isNotNull())
+    # Texts of the smallest id that are near copies of each other: the least by hash stays.
+    several = linked.where("doc_id = component_id").groupBy("component_id").agg(F.count_distinct("sha").alias("n")).where("n > 1").select("component_id")
+    several = materialize(several, "several")
+    own = linked.where("doc_id = component_id").join(small(several), "component_id").select("component_id", "node", "sha").distinct()
+    groups = own.groupBy("component_id", "node").agg(F.min("sha").alias("least"))
+    extra = own.join(groups, ["component_id", "node"]).where("sha != least").select(F.col("component_id").alias("doc_id"), "sha")
+    gone = materialize(linked.where("doc_id != component_id").select("doc_id", "sha").union(extra).distinct(), "gone")
+    key = (docs["doc_id"] == gone["doc_id"]) & (_sha(docs["text"]) == gone["sha"])
+    left = docs.join(small(gone), key, "left_anti")
+    often = materialize(classes.groupBy("doc_id", "sha").count().where("count > 1 and doc_id is not null").select("doc_id").distinct(), "often")
     if not often.take(1):
-        return left.select(*docs.columns)
+        return left
     often = small(often)
-    return left.join(often, "doc_id", "left_anti").unionByName(left.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    return left.join(often, "doc_id", "left_anti").unionByName(left.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)

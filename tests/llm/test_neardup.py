@@ -62,29 +62,51 @@ def test_large_region_and_chain(spark):
     assert got(neardup.classify(frame)) == brute(rows)
 
 
-def test_crowd_of_mutated_copies(spark):
+@pytest.mark.parametrize("n,changed", [(300, 8), (1500, 8), (5000, 7)])
+def test_crowd_of_mutated_copies(spark, n, changed):
     """So many copies, each changed in other places, that regions are crowded at all depths."""
     draw = random.Random(5)
     base = [f"w{k}" for k in range(200)]
     rows = []
-    for i in range(1500):
+    for i in range(n):
         text = list(base)
-        for k in draw.sample(range(200), draw.randint(1, 8)):
+        for k in draw.sample(range(200), draw.randint(1, changed)):
             text[k] = f"x{draw.randrange(10**9)}"
         rows.append((i, " ".join(text)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     own = [sets(t) for _, t in rows]
     shared = [x for x, n in Counter(x for s in own for x in s).items() if n > 1]
     common = (has := np.array([[x in s for x in shared] for s in own], np.float32)) @ has.T
-    size = np.array([len(s) for s in own])
+    size = np.array([len(s) for s in own], np.float32)
     linked = (100 * common >= 75 * (size[:, None] + size - common)) | np.eye(len(rows), dtype=bool)
     least = np.arange(len(rows))
-    while (new := np.where(linked, least, len(rows)).min(axis=1)).tolist() != least.tolist():
+    while (new := np.array([least[x].min() for x in linked])).tolist() != least.tolist():
         least = new
-    assert got(neardup.classify(frame)) == sorted(zip(range(len(rows)), size.tolist(), least.tolist()), key=str)
+    assert got(neardup.classify(frame)) == sorted(zip(range(len(rows)), size.astype(int).tolist(), least.tolist()), key=str)
     assert len(set(least.tolist())) > 1
 
 
+def test_ids_with_several_texts(spark):
+    """Each text is judged by itself: a linked one goes, an unlinked one stays; of equal sets of one id, one row."""
+    text = lambda k, n=60: " ".join(f"{k}w{i}" for i in range(n))
+    rows = [(1, text("a")), (2, text("a") + " more"), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("d")), (4, text("e")), (4, text("e").upper()), (5, text("b", 59)), (None, text("a"))]
+    left = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(r.doc_id, r.text.lower()) for r in left.collect()]
+    assert sorted(got, key=str) == sorted([(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("e")), (None, text("a"))], key=str)
+
+
+def test_components_in_blocks(spark, monkeypatch):
+    """Blocks that hold few links each, joined by stars, give what one block gives."""
+    draw = random.Random(1)
+    name = lambda k: k.to_bytes(16, "big")
+    links = [(name(k), name(k + 1)) for k in range(0, 120) if k % 40] + [(name(500), name(draw.randrange(501, 700))) for _ in range(150)]
+    frame = spark.createDataFrame(links, "a binary, b binary")
+    whole = {bytes(r.node): bytes(r.component) for r in neardup.components(frame).collect()}
+    monkeypatch.setattr(neardup, "BLOCK_LINKS", 40)
+    assert {bytes(r.node): bytes(r.component) for r in neardup.components(frame).collect()} == whole
+    assert len(set(whole.values())) == 4
+
+
 def test_odd_rows(spark, odd):
     assert got(neardup.classify(odd)) == brute([(r.doc_id, r.text) for r in odd.collect()])
     left = [r.doc_id for r in neardup.deduplicate(odd).collect()]
