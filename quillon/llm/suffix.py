@@ -7,7 +7,8 @@ a string around the anchor can cover, form the shards' texts, each distinct cont
 array is made by induced sorting: suffixes are classified, leftmost-smaller substrings sorted (recursively where
 their names repeat), and the rest induced from them, in waves of what is already placed. Permuted common prefixes follow:
 only where a suffix and its neighbour come after different bytes are they compared. Neighbours that agree for the whole span make a class; its least document id goes back
-to every chunk that has the context.
+to every chunk that has the context. The strings around an anchor with more than `crowd` contexts are dealt by their own hashes
+over the shards of all buckets, each distinct string of a chunk once, so that no anchor makes a shard large.
 
 Null text counts as empty. Null ids count as larger than any: such rows lose what documents with ids hold, and
 cost none a byte. Rows that share an id don't affect each other. Matches never cross documents. Ids must fit 64 bits. Only the
@@ -33,6 +34,8 @@ from quillon.llm.common import materialize
 class Repeats:
     span: int = 50
     gram: int = 26
+    #: Contexts of an anchor, of all chunks, over which its strings are dealt one by one.
+    crowd: int = 1 << 16
 
     @property
     def window(self) -> int:
@@ -300,19 +303,78 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- the operator
 
-_ASK = pa.schema([("bucket", pa.int64()), ("chunk", pa.string()), ("hashes", pa.binary()), ("many", pa.binary())])
-_FOUND = pa.schema([("chunk", pa.string()), ("bucket", pa.int64()), ("contexts", pa.binary()), ("least", pa.binary()), ("places", pa.binary()), ("which", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64())])
+_ASK = pa.schema([("bucket", pa.int64()), ("chunk", pa.string()), ("n", pa.int64()), ("hashes", pa.binary()), ("many", pa.binary()), ("contexts", pa.binary())])
+_FOUND = pa.schema([("chunk", pa.string()), ("bucket", pa.int64()), ("part", pa.int32()), ("contexts", pa.binary()), ("least", pa.binary()), ("places", pa.binary()), ("which", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64())])
+ALONE, SHARED, CROWD = 0, 1, 2
+
+
+@dataclass
+class Anchors:
+    """A chunk's anchors: distinct hashes, sorted; each place with its hash's number and its document's id."""
+
+    distinct: np.ndarray
+    place: np.ndarray
+    which: np.ndarray
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, p: Repeats) -> Anchors:
+        h, place = anchors(raw, sizes, p)
+        distinct, which = np.unique(h, return_inverse=True)
+        return cls(distinct, place, which, ids[np.searchsorted(np.cumsum(sizes), place, "right")])
+
+    def many(self) -> np.ndarray:
+        """Whether several documents have each hash."""
+        low, high = np.full(len(self.distinct), C.NO_ID), np.full(len(self.distinct), np.iinfo(np.int64).min)
+        np.minimum.at(low, self.which, self.own)
+        np.maximum.at(high, self.which, self.own)
+        return low != high
+
+    def contexts(self, raw: np.ndarray, sizes: np.ndarray, p: Repeats) -> np.ndarray:
+        """How many different contexts each hash has, told apart by hash."""
+        stop = np.cumsum(sizes)
+        doc = np.searchsorted(stop, self.place, "right")
+        low = np.maximum(self.place - (p.window - 1), (stop - sizes)[doc])
+        high = np.minimum(self.place + p.span, stop[doc])
+        h = (_hashes(raw, low, high) ^ (high - low).astype(np.uint64)) * _M1 + self.which.astype(np.uint64)
+        _, first = np.unique(h, return_index=True)
+        return np.bincount(self.which[first], minlength=len(self.distinct)).astype(np.uint32)
+
+
+def _hashes(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of the bytes from low to high."""
+    sums = _sums(raw)
+    h = (sums[high] - sums[low]) * _powers(len(raw) + 1)[1][low]
+    return (h ^ (h >> np.uint64(29))) * _M2
 
 
-def _asked(raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, p: Repeats):
-    """Distinct hashes, sorted; whether several documents have each; all places with their hash's number."""
-    h, place = anchors(raw, sizes, p)
-    distinct, which = np.unique(h, return_inverse=True)
-    own = ids[np.searchsorted(np.cumsum(sizes), place, "right")]
-    low, high = np.full(len(distinct), C.NO_ID), np.full(len(distinct), np.iinfo(np.int64).min)
-    np.minimum.at(low, which, own)
-    np.maximum.at(high, which, own)
-    return distinct, low != high, place, which, own
+def strings_of(raw: np.ndarray, sizes: np.ndarray, place: np.ndarray, p: Repeats) -> np.ndarray:
+    """Starts of all spans that hold an anchor at one of the places, within its document."""
+    stop = np.cumsum(sizes)
+    doc = np.searchsorted(stop, place, "right")
+    first, last = np.maximum(place - (p.window - 1), (stop - sizes)[doc]), np.minimum(place, stop[doc] - p.span)
+    edge = np.zeros(len(raw) + 2, np.int32)
+    ok = first <= last
+    np.add.at(edge, first[ok], 1)
+    np.add.at(edge, last[ok] + 1, -1)
+    return np.flatnonzero(np.cumsum(edge) > 0)
+
+
+def _deal(out: dict[str, list], chunk: str, part: int, rows: np.ndarray, place: np.ndarray, own: np.ndarray, bucket: np.ndarray, n: int, which: np.ndarray | None = None) -> None:
+    """Add, for each bucket, the distinct rows with the least id of each, and the places with the number of theirs. which: the row of each place, if rows are distinct already."""
+    first, index = (np.arange(len(rows)), which) if which is not None else distinct_rows(rows)
+    low, top = np.full(len(first), C.NO_ID), np.zeros(len(first), np.int64)
+    np.minimum.at(low, index, own)
+    top[index] = bucket
+    by, sorted_ = np.argsort(top, kind="stable"), np.argsort(bucket, kind="stable")
+    number = np.empty(len(first), np.int64)
+    number[by] = np.arange(len(first))
+    edge, edge_first = (np.searchsorted(t, np.arange(n + 1)) for t in (bucket[sorted_], top[by]))
+    at, nth = place[sorted_].astype(np.int32), number[index][sorted_]
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        s, f = slice(edge[b], edge[b + 1]), by[edge_first[b] : edge_first[b + 1]]
+        for name, x in (("chunk", chunk), ("bucket", b), ("part", part), ("contexts", C.packed(rows[first[f]])), ("least", C.packed(low[f])), ("distinct", len(f)), ("places", C.packed(at[s])), ("which", C.packed((nth[s] - edge_first[b]).astype(np.int32))), ("n", len(at[s]))):
+            out[name].append(x)
 
 
 def repeats(docs: DataFrame, p: Repeats = Repeats(), doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -324,53 +386,56 @@ def repeats(docs: DataFrame, p: Repeats = Repeats(), doc_id: str = "doc_id", tex
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                distinct, many, *_ = _asked(*C.opened(batch, i), p)
+                raw, ids, sizes = C.opened(batch, i)
+                a = Anchors.of(raw, ids, sizes, p)
+                many, contexts, chunk = a.many(), a.contexts(raw, sizes, p), batch.column("chunk")[i].as_py()
                 # Half of a hash is enough within a bucket: what it mistakes for shared is only sorted in vain.
-                rows = [(b, distinct[s].astype(np.uint32).tobytes(), np.packbits(many[s]).tobytes()) for b, s in C.split(distinct, n)]
-                yield C.record({"bucket": [r[0] for r in rows], "chunk": [batch.column("chunk")[i].as_py()] * len(rows), "hashes": [r[1] for r in rows], "many": [r[2] for r in rows]}, _ASK)
+                rows = [(b, chunk, s.stop - s.start, a.distinct[s].astype(np.uint32).tobytes(), np.packbits(many[s]).tobytes(), C.planes(contexts[s])) for b, s in C.split(a.distinct, n)]
+                yield C.record({f.name: [r[k] for r in rows] for k, f in enumerate(_ASK)}, _ASK)
 
     def meet(group: pa.Table) -> pa.Table:
-        """For each chunk's hashes, whether another document may have them."""
+        """For each chunk's hashes, whether another document may have them, and whether many contexts do."""
+        size = group["n"].to_pylist()
         each = [np.frombuffer(x, np.uint32) for x in group["hashes"].to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(group["many"].to_pylist(), each, strict=True)]
+        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(group["many"].to_pylist(), size, strict=True)]
+        contexts = [C.unplanes(x, np.uint32, k) for x, k in zip(group["contexts"].to_pylist(), size, strict=True)]
         _, which, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        shared = count > 1
-        shared[which[np.concatenate(many) > 0]] = True
-        bits = np.split(shared[which], np.cumsum([len(x) for x in each])[:-1])
-        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+        found = (count > 1).astype(np.uint8)
+        found[which[np.concatenate(many) > 0]] = SHARED
+        found[(np.bincount(which, weights=np.concatenate(contexts)) > p.crowd) & (found > 0)] = CROWD
+        said = np.split(found[which], np.cumsum(size)[:-1])
+        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "n": group["n"], "found": pa.array([C.packed(x) for x in said], pa.binary())})
 
-    asked = table.mapInArrow(ask, "bucket bigint, chunk string, hashes binary, many binary")
-    shared = materialize(asked.groupBy("bucket").applyInArrow(meet, "chunk string, bucket bigint, bits binary"), "shared")
+    asked = table.mapInArrow(ask, "bucket bigint, chunk string, n bigint, hashes binary, many binary, contexts binary")
+    shared = materialize(asked.groupBy("bucket").applyInArrow(meet, "chunk string, bucket bigint, n bigint, found binary"), "shared")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct contexts of shared anchors by bucket, and which of them lies where."""
+        """The distinct contexts of shared anchors by bucket, and which of them lies where; of crowds, the strings instead."""
         for batch in batches:
             for i in range(batch.num_rows):
                 raw, ids, sizes = C.opened(batch, i)
-                distinct, _, place, which, own = _asked(raw, ids, sizes, p)
-                said = {x["bucket"]: x["bits"] for x in batch.column("said")[i].as_py() or ()}
+                a = Anchors.of(raw, ids, sizes, p)
+                said = {x["bucket"]: C.unpacked(x["found"], np.uint8, x["n"]) for x in batch.column("said")[i].as_py() or ()}
+                found = np.concatenate([said[b] for b, _ in C.split(a.distinct, n)] or [np.zeros(0, np.uint8)])[a.which]
+                shift = np.uint64(64 - n.bit_length() + 1)
+                members = np.flatnonzero(found == SHARED)
                 out = {f.name: [] for f in _FOUND}
-                bits = np.concatenate([np.unpackbits(np.frombuffer(said[b], np.uint8), count=s.stop - s.start) for b, s in C.split(distinct, n)] or [np.zeros(0, np.uint8)]).astype(bool)
-                members = np.flatnonzero(bits[which])
-                rows = contexts_of(raw, sizes, place[members], p)
-                first, index = distinct_rows(rows)
-                low = np.full(len(first), C.NO_ID)
-                np.minimum.at(low, index, own[members])
-                # Both by bucket: the distinct contexts, and the places with the number of theirs.
-                top = (distinct[which[members]] >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
-                by, sorted_ = np.argsort(top[first], kind="stable"), np.argsort(top, kind="stable")
-                number = np.empty(len(first), np.int64)
-                number[by] = np.arange(len(first))
-                edge, edge_first = (np.searchsorted(t, np.arange(n + 1)) for t in (top[sorted_], top[first][by]))
-                at, nth = place[members][sorted_].astype(np.int32), number[index][sorted_]
                 chunk = batch.column("chunk")[i].as_py()
-                for b in np.flatnonzero(np.diff(edge)).tolist():
-                    s, f = slice(edge[b], edge[b + 1]), by[edge_first[b] : edge_first[b + 1]]
-                    for name, x in (("chunk", chunk), ("bucket", b), ("contexts", C.packed(rows[first[f]])), ("least", C.packed(low[f])), ("distinct", len(f)), ("places", C.packed(at[s])), ("which", C.packed((nth[s] - edge_first[b]).astype(np.int32))), ("n", len(at[s]))):
-                        out[name].append(x)
+                _deal(out, chunk, 0, contexts_of(raw, sizes, a.place[members], p), a.place[members], a.own[members], (a.distinct[a.which[members]] >> shift).astype(np.int64), n)
+                if (found == CROWD).any():
+                    start = strings_of(raw, sizes, a.place[found == CROWD], p)
+                    # Only one of each string is looked at; it stands as a context of its own, with nothing behind it.
+                    h = _hashes(raw, start, start + p.span)
+                    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+                    if not all((raw[start + k] == raw[start[first] + k][which]).all() for k in range(p.span)):  # two strings of one hash
+                        first, which = distinct_rows(raw[start[:, None] + np.arange(p.span)])
+                    rows = np.full((len(first), p.context), 255, np.uint8)
+                    rows[:, : p.span] = raw[start[first][:, None] + np.arange(p.span)]
+                    own = ids[np.searchsorted(np.cumsum(sizes), start, "right")]
+                    _deal(out, chunk, 1, rows, start + p.window - 1, own, (h >> shift).astype(np.int64), n, which)
                 yield C.record(out, _FOUND)
 
-    found = C.answered(table, shared, "bits").mapInArrow(find, "chunk string, bucket bigint, contexts binary, least binary, places binary, which binary, n bigint, distinct bigint")
+    found = C.answered(table, shared, "found").mapInArrow(find, "chunk string, bucket bigint, part int, contexts binary, least binary, places binary, which binary, n bigint, distinct bigint")
 
     def sort(group: pa.Table) -> pa.Table:
         low_each = [C.unpacked(x, np.int64, k) for x, k in zip(group["least"].to_pylist(), group["distinct"].to_pylist(), strict=True)]
@@ -382,10 +447,10 @@ def repeats(docs: DataFrame, p: Repeats = Repeats(), doc_id: str = "doc_id", tex
         best = least_of_classes(rows[first], low, p)
         # A start says something only if its class has an id that is less than that of a document here.
         answer = np.split(best[which], np.cumsum([len(x) for x in each])[:-1])
-        return group.select(["chunk", "bucket", "places", "which", "n", "distinct"]).append_column("best", pa.array([C.packed(a) for a in answer], pa.binary()))
+        return group.select(["chunk", "bucket", "part", "places", "which", "n", "distinct"]).append_column("best", pa.array([C.packed(a) for a in answer], pa.binary()))
 
     # Contexts are shuffled straight to their shards; places ride along, and come back with the answers.
-    answers = found.groupBy("bucket").applyInArrow(sort, "chunk string, bucket bigint, places binary, which binary, n bigint, distinct bigint, best binary")
+    answers = found.groupBy("bucket", "part").applyInArrow(sort, "chunk string, bucket bigint, part int, places binary, which binary, n bigint, distinct bigint, best binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

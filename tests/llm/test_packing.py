@@ -5,6 +5,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillon.llm import packing
@@ -43,6 +44,7 @@ def test_query(spark, documents):
 
 def test_odd_rows(spark, odd):
     texts = [(i, t) for i, t in TEXTS] + []
+    odd = odd.withColumns({c: F.lit("mine") for c in ("piece", "start", "sequence_id", "offset", "_bucket", "_n")})
     check(packing.pack_documents(odd, PATH, size=64).collect(), texts, 64)
 
 
@@ -72,3 +74,15 @@ def test_plan_holds_all(lengths):
 def test_second_step_fits_more_tightly():
     # Greedy: 6 + 3 leaves 1; 3 gives way to 2 + 2, which fill the gap of 4.
     assert packing.plan({6: 1, 3: 1, 2: 2}, 10)[0].counts == ((6, 1), (2, 2))
+
+
+def test_a_tokenizer_that_keeps_white_space(tmp_path):
+    """Words can't be encoded apart then: texts are encoded whole."""
+    from tokenizers import models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 1, " a": 2, "?": 3, " ": 4}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.Split(" a", "isolated")
+    t.save(path := str(tmp_path / "t.json"))
+    (got,) = packing.ids_of(path, [b"a a a"], 0)
+    assert not packing._encoders[path].apart
+    assert np.frombuffer(got, "<u4").tolist() == [*t.encode("a a a", add_special_tokens=False).ids, 0] == [1, 2, 2, 0]

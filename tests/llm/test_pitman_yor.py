@@ -55,8 +55,9 @@ def test_probabilities_sum_to_one():
     root = P.Root(m.root, float(customers.sum()), float(tables.sum()), 29)
     base = root.predictive(customers, tables)
     assert base.sum() == pytest.approx(1)
-    for _ in range(4):
-        own.sweep(m.one, m.two, base, root.one_less(customers, tables), draw)
+    for half in (None, 0, 1, None, 0):
+        own.sweep(m.one, m.two, base, root.one_less(customers, tables), draw, half)
+        assert (own.two.table >= 0).all() and (own.one.table >= 0).all()
         p = own.predictive(m.one, m.two, base)[own.entry]
         assert np.bincount((before * np.uint64(4) + context).astype(np.int64), weights=p) == pytest.approx(np.ones(12))
         assert (own.two.tables <= own.two.count).all() and (own.two.tables[own.two.count > 0] >= 1).all()
@@ -176,7 +177,7 @@ def test_against_a_plain_sampler(spark):
         while len(text) < 25:
             text.append(draw.choice(chain[text[-1]]) if draw.random() < 0.8 else draw.choice(words))
         rows.append((i, " ".join(text)))
-    m = P.Model(sample_priors=False, samples=20, first=10, burn=5)
+    m = P.Model(sample_priors=False, samples=40, first=10, burn=10)
     got = {r.doc_id: r.score for r in P.score(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
     want = by_hand(rows, m, 40, 10)
     assert all(got[i] == pytest.approx(want[i], rel=0.15) for i in want)

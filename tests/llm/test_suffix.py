@@ -4,6 +4,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.functions import lit
 
 from quillon.llm import suffix
 from quillon.llm.queries import op2_suffix_dedup
@@ -48,8 +49,19 @@ def test_edges(spark):
     assert got(suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
 
 
+def test_crowded_anchors(spark, documents):
+    """With hardly any context allowed to an anchor, strings are dealt one by one, and the result is the same."""
+    docs = documents.limit(60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    passage = "the same passage of more than fifty bytes, that all have in common"
+    rows += [(10_000 + i, f"{i * 7919} {passage} {i * 104729} {'z' * (i % 90)}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowd in (0, 3):
+        assert got(suffix.repeats(frame, suffix.Repeats(crowd=crowd))) == brute(rows)
+
+
 def test_odd_rows(spark, odd):
-    odd = odd.withColumn("text", odd["text"].substr(1, 3000))
+    odd = odd.withColumn("text", odd["text"].substr(1, 3000)).withColumns({c: lit("mine") for c in ("kept", "n_bytes", "chunk", "bucket", "data")})
     out = suffix.repeats(odd)
     assert got(out) == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert all(len(r.kept) == r.n_bytes - r.n_removed for r in out.collect())
