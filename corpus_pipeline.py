@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, neardup, packing, secrets, toxicity
-from quillon.llm.common import materialize, table
+from quillon.llm.common import drop_table, materialize, table
 from quillon.llm.queries import tokenizer
 
 ORACLE_SQL = None
@@ -50,7 +50,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_table(*before)
+        before = [docs]
     return docs
