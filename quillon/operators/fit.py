@@ -172,6 +172,22 @@ def fit(rows: DataFrame, config: FitConfig = FitConfig(), start: Params | None =
     return Fitted(p, accumulate(rows, p, d, True, free), rows, trace, config, history)
 
 
+def sequential(y: np.ndarray, mu: np.ndarray, s: np.ndarray, start: Params) -> tuple[optimise.Objective, np.ndarray]:
+    """The objective of few rows in memory, whose latents are numbers of the one vector as the globals are, and where it starts."""
+    m, q, n = start.m, start.q, len(y)
+    k = m * q + 2 + q
+
+    def objective(x: np.ndarray, _: None, __: float) -> tuple[float, np.ndarray]:
+        p, mu, raw = Params.from_raw(x[:k], m, q), x[k : k + n * q].reshape(n, q), x[k + n * q :].reshape(n, q)
+        s = np_softplus(raw)
+        a = Algebra.of(p, block(y, mu, s, p, True, True))
+        g_mu, g_s = latents.row_gradients(y, mu, s, p, a.by_psi1y(), a.by_psi2())
+        chain = np.concatenate([np.ones(m * q), softplus_slope(x[m * q : k])])
+        return -a.bound(), -np.concatenate([a.gradient() * chain, g_mu.ravel(), (g_s * softplus_slope(raw)).ravel()])
+
+    return objective, np.concatenate([start.raw(), mu.ravel(), np.log(np.expm1(s)).ravel()])
+
+
 def _embed(y: np.ndarray, mu: np.ndarray, s: np.ndarray, model_p: Params, stats: Stats, iterations: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Latents of the rows of y that maximise the bound of training and test rows together; N stays that of training."""
     n, q = mu.shape

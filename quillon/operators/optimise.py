@@ -101,6 +101,15 @@ class Guard:
         return f, g
 
 
+def gradient_error(objective: Objective, x: np.ndarray, step: float = 1e-5) -> np.ndarray:
+    """How far each number of the gradient is from central differences, as a share of the larger of the two (and of 1)."""
+    _, g = objective(x, None, 0.0)
+    apart = np.empty_like(x)
+    for i, at in enumerate(np.eye(len(x)) * step):
+        apart[i] = (objective(x + at, None, 0.0)[0] - objective(x - at, None, 0.0)[0]) / (2 * step)
+    return np.abs(g - apart) / np.maximum(1.0, np.maximum(np.abs(g), np.abs(apart)))
+
+
 @dataclass
 class _Course:
     """Where conjugate gradients stand: the global part, and numbers that rows and globals share. Rows keep theirs in the state table."""

@@ -92,6 +92,10 @@ class Expected:
     @classmethod
     def of(cls, mu: np.ndarray, s: np.ndarray, p: Params) -> Expected:
         """All products of rows and points are products of matrices."""
+        if mu.shape != s.shape or mu.shape[1:] != (p.q,):
+            raise ValueError(f"means and variances of {p.q} numbers a row are needed")
+        if (s < 0).any():
+            raise ValueError("negative variances")
         i, j = np.triu_indices(p.m)
         mid, apart = (p.z[i] + p.z[j]) / 2, p.z[i] - p.z[j]
         den1, den2 = p.alpha * s + 1, 2 * p.alpha * s + 1

@@ -15,6 +15,12 @@ class Params:
     alpha: np.ndarray  # Q, inverse squared length scales
     beta: float
 
+    def __post_init__(self) -> None:
+        if self.z.ndim != 2 or np.shape(self.alpha) != (self.z.shape[1],):
+            raise ValueError("inducing points are rows of as many numbers as there are length scales")
+        if not (self.sf2 > 0 and self.beta > 0 and np.all(np.asarray(self.alpha) >= 0)):
+            raise ValueError("variances and precisions are positive")
+
     @property
     def m(self) -> int:
         return self.z.shape[0]

@@ -128,6 +128,32 @@ def test_scg_on_a_quadratic_and_failures():
         optimise.gd(never, np.ones(1), iterations=500)
 
 
+def test_sequential_form(spark, curve):
+    """All in one vector: its gradient is right, and the distributed form starts at the same bound and gradient."""
+    draw = np.random.default_rng(3)
+    rows = curve.where("row_id < 12").select("row_id", "y").orderBy("row_id").collect()
+    y, mu, s = np.array([r.y for r in rows]), draw.standard_normal((12, 2)), draw.uniform(0.2, 0.6, (12, 2))
+    p = Params(draw.standard_normal((4, 2)), 1.2, np.array([0.7, 1.1]), 3.0)
+    objective, x = fits.sequential(y, mu, s, p)
+    assert optimise.gradient_error(objective, x).max() < 1e-5
+    trace = optimise.scg(objective, x, iterations=15)
+    assert trace.f < objective(x, None, 0.0)[0]
+    frame = spark.createDataFrame([(i, *map(np.ndarray.tolist, r)) for i, r in enumerate(zip(y, mu, s))], "row_id long, y array<double>, mu array<double>, s array<double>")
+    model = fits.fit(frame, FitConfig(inducing=4, latent=2, iterations=1), start=p)
+    assert model.trace.rows[0][3] == pytest.approx(objective(x, None, 0.0)[0])
+
+
+def test_what_parameters_and_rows_must_be():
+    z = np.zeros((2, 1))
+    for bad in ((z, -1.0, np.ones(1), 1.0), (z, 1.0, np.ones(2), 1.0), (z, 1.0, -np.ones(1), 1.0), (z[0], 1.0, np.ones(1), 1.0), (z, 1.0, np.ones(1), 0.0)):
+        with pytest.raises(ValueError):
+            Params(*bad)
+    p = Params(z, 1.0, np.ones(1), 1.0)
+    for mu, s in ((np.zeros((3, 1)), -np.ones((3, 1))), (np.zeros((3, 1)), np.ones((2, 1))), (np.zeros((3, 2)), np.ones((3, 2)))):
+        with pytest.raises(ValueError):
+            statistics.block(np.zeros((3, 1)), mu, s, p)
+
+
 def test_initialisers(spark, curve):
     y = np.array([r.y for r in curve.orderBy("row_id").collect()])
     n, mean, cov = initialise.moments(curve, 3)
