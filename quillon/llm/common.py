@@ -59,8 +59,10 @@ def n_bytes(df: DataFrame) -> int:
             width += F.coalesce(F.octet_length(c), F.lit(0)) + 16
         elif kind == "array<string>":
             width += F.coalesce(F.octet_length(F.concat_ws("", c)) + 16 * F.size(c), F.lit(0)) + 16
+        elif kind.startswith("array"):
+            width += F.coalesce(24 * F.size(c), F.lit(0)) + 16
         else:
-            width += 8
+            width += 32 if kind.startswith("struct") else 8
     return df.agg(F.sum(width.cast("long"))).first()[0] or 0
 
 

@@ -3,10 +3,10 @@
 A window is `size` consecutive words of an item (a shorter item is one window). Containment of
 a window must be whole, so the necessary prefix of its rarity-ordered words is one word: the
 one that the fewest places of the corpus hold. Documents' places with such a word are joined with the windows that
-have it; the window's offset and length bound where it can start. What is left are starts and lengths, for which the
-documents' own words are fetched and compared with the windows, exactly.
+have it; the window's offset and length bound where it can start, and the hashes of the words beside it must agree. What is
+left are starts and lengths, for which the documents' own words are fetched and compared with the windows, exactly.
 
-Places that are shuffled are ids, word and offset, never texts or arrays. A word that many places hold is dealt over
+Places that are shuffled are ids, word, offset and two hashes, never texts or arrays. A word that many places hold is dealt over
 several keys. Whatever a side's size, the plan is the same; tables of a checked size may be broadcast.
 
 Null texts have no words. Items without words give no windows; null item ids count as none. Repeated document rows stay
@@ -44,6 +44,12 @@ def item_windows(items: DataFrame, size: int, item_id: str = "item_id", text: st
     )
 
 
+def _beside(words: Column, at: Column) -> list[Column]:
+    """Hashes of the words before and after a 0-based place; of '' where there is none."""
+    near = lambda k: F.xxhash64(F.coalesce(F.get(words, k), F.lit("")))
+    return [near(at - 1).alias("left"), near(at + 1).alias("right")]
+
+
 def probes(split: DataFrame, windows: DataFrame) -> tuple[DataFrame, int]:
     """Each window's rarest word with its offset in the window; `keys` is over how many keys the word is dealt. And the most keys of any word."""
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
@@ -54,7 +60,7 @@ def probes(split: DataFrame, windows: DataFrame) -> tuple[DataFrame, int]:
         .join(small(counts), "word", "left")
         .groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "before")).alias("rarest"))
         .where("rarest.n > 0")  # no place holds the others
-        .select("rarest.word", "rarest.before", F.size("window").alias("length"), F.ceil(F.col("rarest.n") * HOT / max(1, total)).cast("int").alias("keys"))
+        .select("rarest.word", "rarest.before", F.size("window").alias("length"), *_beside(F.col("window"), F.col("rarest.before")), F.ceil(F.col("rarest.n") * HOT / max(1, total)).cast("int").alias("keys"))
         .distinct()
     )
     ranked = materialize(ranked, "probes")
@@ -69,15 +75,16 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str = "doc_i
     split = docs.select(F.col(doc_id).alias("id"), F.sha2(whole, 256).alias("sha"), words(whole).alias("w"))
     split = materialize(split.withColumn("n_words", F.size("w").cast("long")), "words")
     rarest, most = probes(split, windows)
-    places = split.select("id", "sha", "n_words", F.posexplode("w").alias("p", "word"))
+    places = split.select("id", "sha", "n_words", "w", F.posexplode("w").alias("p", "word")).select("id", "sha", "n_words", "p", "word", *(c.alias(f"own_{k}") for k, c in zip(("left", "right"), _beside(F.col("w"), F.col("p")), strict=True)))
     if most > 1:
         hot = materialize(rarest.where("keys > 1").select("word", "keys").distinct(), "hot")  # at most HOT rows
         places = places.join(F.broadcast(hot), "word", "left").withColumn("key", F.coalesce(F.pmod(F.xxhash64("sha", "p"), F.col("keys")), F.lit(0).cast("long"))).drop("keys")
     else:
         places = places.withColumn("key", F.lit(0).cast("long"))
-    dealt = rarest.select("word", "before", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("keys") - F.lit(1).cast("long"))).alias("key"))
+    dealt = rarest.select("word", "before", "length", "left", "right", F.explode(F.sequence(F.lit(0).cast("long"), F.col("keys") - F.lit(1).cast("long"))).alias("key"))
     start = F.col("p") - F.col("before")
-    found = places.join(small(materialize(dealt, "dealt")), ["word", "key"]).where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+    agree = ((F.col("before") == 0) | (F.col("left") == F.col("own_left"))) & ((F.col("before") == F.col("length") - 1) | (F.col("right") == F.col("own_right")))
+    found = places.join(small(materialize(dealt, "dealt")), ["word", "key"]).where((start >= 0) & (start + F.col("length") <= F.col("n_words")) & agree)
     # The text's hash is part of the key: rows that share an id, or have none, stay apart.
     starts = found.groupBy("id", "sha", F.floor(start / STARTS).alias("part")).agg(F.collect_set(F.struct(start.alias("at"), F.col("length").alias("n"))).alias("starts"))
     starts = materialize(starts.drop("part"), "starts")
