@@ -26,11 +26,13 @@ extra columns aren't read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,8 @@ END, START = np.uint64(0x243F6A8885A308D3), 0
 BLOCK = 32
 #: A word before so many tokens, and before a quarter of a bucket's, has several classes.
 CONTEXT = 1 << 17
+#: Buckets send sums of log probabilities in whole numbers of this share of 1.
+UNIT = 1 << 24
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,6 +63,7 @@ class Prior:
 @dataclass(frozen=True)
 class Model:
     first: int = 2  # sweeps of the first run
+    #: Of the second run; half of the customers move for each sample.
     burn: int = 2
     samples: int = 10
     root: Prior = Prior(0.7, 10.0)
@@ -88,12 +93,6 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, last
 
 
-def _texts(batch: pa.RecordBatch, i: int) -> tuple[list[bytes], list[int]]:
-    raw, ids, sizes = C.opened(batch, i)
-    data, stop = raw.tobytes(), np.cumsum(sizes)
-    return [data[a:b] for a, b in zip((stop - sizes).tolist(), stop.tolist(), strict=True)], ids.tolist()
-
-
 # --- seating
 
 
@@ -151,10 +150,21 @@ class Seats:
         self.tables[self.many] = np.bincount(self.owner[: len(names) + len(alone)], minlength=len(self.many))
         self.all = np.bincount(self.restaurant, weights=self.tables, minlength=len(self.all)) + self.outside
 
-    def sweep(self, prior: Prior, base: np.ndarray, without: Callable[[np.ndarray], np.ndarray] | None, draw: np.random.Generator) -> None:
-        """Every customer leaves and sits down again. base: the parent's probability of each entry; without(entries): that after a customer of the parent has left."""
+    def sweep(self, prior: Prior, base: np.ndarray, without: Callable[[np.ndarray], np.ndarray] | None, draw: np.random.Generator, half: int | None = None) -> None:
+        """Customers that wait are seated; then every one, or every other one, leaves and sits down again.
+
+        base: the parent's probability of each entry; without(entries): that after a customer of the parent has left; half: 0 or 1.
+        """
+        waits = np.flatnonzero(self.table < 0)
+        if len(waits):
+            dish = np.searchsorted(self.start, waits, "right") - 1
+            rank = np.arange(len(waits)) - np.searchsorted(dish, dish)
+            turn = rank // np.maximum(1, self.size[dish] // BLOCK)
+            for t in range(int(turn.max()) + 1):
+                now = turn == t
+                self._move(dish[now], waits[now], False, prior, base, without, draw)
         large = int(np.searchsorted(-self.size, -BLOCK, "left"))  # dishes are sorted by customers
-        for j in range(int(min(self.size[0], BLOCK)) if len(self.size) else 0):
+        for j in range(half or 0, int(min(self.size[0], BLOCK)) if len(self.size) else 0, 1 if half is None else 2):
             if large:
                 low = self.start[:large] + self.size[:large] * j // BLOCK
                 n = self.start[:large] + self.size[:large] * (j + 1) // BLOCK - low
@@ -176,9 +186,12 @@ class Seats:
         restaurant = self.restaurant[entry]
         was = self.table[who]
         there = was >= 0
-        all_there = there.all()
-        add(self.n, was if all_there else was[there], -1)
-        add(self.seated, dish if all_there else dish[there], -1)
+        if there.all():
+            add(self.n, was, -1)
+            add(self.seated, dish, -1)
+        elif there.any():
+            add(self.n, was[there], -1)
+            add(self.seated, dish[there], -1)
         self.table[who] = -1
         left = np.flatnonzero(there & (self.n[was] == 0))
         if len(left):
@@ -272,9 +285,10 @@ class Root:
 
 
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index of the first of each distinct key, each key's number, how many there are."""
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    return first, which, len(first)
+    """Index of the first of each distinct key, each key's number, how many there are; in the order of their first."""
+    which, distinct = pd.factorize(keys)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1)) if len(keys) else which
+    return first, which, len(distinct)
 
 
 class Contexts:
@@ -298,15 +312,15 @@ class Contexts:
         self.words = word[top][at]
         self.one = Seats(count, restaurant, of_one)
 
-    def sweep(self, one: Prior, two: Prior, base: np.ndarray, one_less: np.ndarray | None, draw: np.random.Generator) -> None:
-        """base, one_less: the root's probability of each word, and that with a customer less."""
+    def sweep(self, one: Prior, two: Prior, base: np.ndarray, one_less: np.ndarray | None, draw: np.random.Generator, half: int | None = None) -> None:
+        """base, one_less: the root's probability of each word, and that with a customer less; half: as for seats."""
         own = base[self.word]
         if self.two is not None:
             p = self.one.predictive(one, own)
-            self.two.sweep(two, p[self.parent], lambda e: self.one.one_less(self.parent[e], one, own, draw), draw)
+            self.two.sweep(two, p[self.parent], lambda e: self.one.one_less(self.parent[e], one, own, draw), draw, half)
             count = np.bincount(self.parent, weights=self.two.tables, minlength=len(self.one.count)).astype(np.int64)
             self.one.resized(count)
-        self.one.sweep(one, own, None if one_less is None else (lambda e: one_less[self.word[e]]), draw)
+        self.one.sweep(one, own, None if one_less is None else (lambda e: one_less[self.word[e]]), draw, half)
 
     def predictive(self, one: Prior, two: Prior, base: np.ndarray) -> np.ndarray:
         """Of each entry: a context with its word."""
@@ -367,31 +381,61 @@ class Coded:
         heavy = classes > 1
         kind[heavy] = _mix(by[heavy] + np.uint64(7)) % classes[heavy].astype(np.uint64)
         context = _context(v, kind)
-        return {"doc": doc, "u": u, "v": v, "kind": kind, "w": w, "bucket": (context >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)}
+        return {"doc": doc, "u": u, "v": v, "kind": kind, "w": w, "context": context, "bucket": (context >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)}
 
 
 def _context(v: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return _mix(v * _ODD + _mix(kind))
 
 
-def _coded(table: DataFrame, m: Model, total: int) -> tuple[DataFrame, int, int]:
-    """The chunks with numbered words and the documents' base scores, as a table; tokens learned from; vocabulary."""
-    n = C.buckets(total, C.grown(total, 8 << 20, 16 << 20))
+_HASHED_DDL = "chunk string, docs binary, held binary, sizes binary, n bigint, tokens binary, n_words bigint, hashes binary, counts binary"
+_HASHED = pa.schema([("chunk", pa.string()), ("docs", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("n_words", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
-    def words(batch: pa.RecordBatch, i: int):
-        texts, ids = _texts(batch, i)
+
+def _hashed(docs: DataFrame, m: Model, total: int) -> DataFrame:
+    """Chunks of documents: the hashes of their words, in order, how often each is learned from, and the tokens as places among them. A table. Texts are read once."""
+    size = C.grown(total, C.CHUNK, C.CHUNKS)
+
+    def row(texts: list[bytes], ids: list[int]) -> pa.RecordBatch:
         h, last = tokens(texts)
-        distinct, which = np.unique(h, return_inverse=True)
-        held = np.array([held_out(None if d == C.NO_ID else d, m.folds) for d in ids], bool)
-        return ids, held, np.diff(last, prepend=0), distinct, which
+        which, distinct = pd.factorize(h)
+        order = np.argsort(distinct)
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        distinct, which = distinct[order], rank[which]
+        sizes, held = np.diff(last, prepend=0), np.array([held_out(None if d == C.NO_ID else d, m.folds) for d in ids], bool)
+        use = np.repeat(~held & (np.array(ids, np.int64) != C.NO_ID), sizes)
+        count = np.bincount(which, weights=use, minlength=len(distinct)).astype(np.int64)
+        return C.record({
+            "chunk": [uuid.uuid4().hex], "docs": [np.array(ids, np.int64).tobytes()], "held": [np.packbits(held).tobytes()], "sizes": [sizes.tobytes()], "n": [len(which)], "tokens": [C.planes(which)],
+            "n_words": [len(distinct)], "hashes": [distinct.tobytes()], "counts": [C.planes(count)],
+        }, _HASHED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, ids, n = [], [], 0
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                texts.append(t or b"")
+                ids.append(C.NO_ID if i is None else i)
+                n += len(texts[-1])
+                if n >= size or len(texts) >= 50_000:
+                    yield row(texts, ids)
+                    texts, ids, n = [], [], 0
+        if texts:
+            yield row(texts, ids)
+
+    return materialize(docs.mapInArrow(run, _HASHED_DDL), "hashed")
+
+
+def _coded(table: DataFrame, total: int) -> tuple[DataFrame, int, int]:
+    """The chunks with numbered words and the documents' base scores, as a table; tokens learned from; vocabulary."""
+    n = C.buckets(total, C.grown(total, 8 << 20, 16 << 20))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, held, sizes, distinct, which = words(batch, i)
-                use = np.repeat(~held & (np.array(ids, np.int64) != C.NO_ID), sizes)
-                count = np.bincount(which, weights=use, minlength=len(distinct)).astype(np.int64)
-                rows = [(b, batch.column("chunk")[i].as_py(), s.stop - s.start, distinct[s].tobytes(), C.planes(count[s])) for b, s in C.split(distinct, n)]
+            for chunk, size, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "n_words", "hashes", "counts")), strict=True):
+                distinct, count = np.frombuffer(hashes, np.uint64), C.unplanes(counts, np.int64, size)
+                rows = [(b, chunk, s.stop - s.start, distinct[s].tobytes(), C.planes(count[s])) for b, s in C.split(distinct, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "n", "hashes", "count"])
 
     def merge(group: pa.Table) -> pa.Table:
@@ -409,7 +453,7 @@ def _coded(table: DataFrame, m: Model, total: int) -> tuple[DataFrame, int, int]
             "learned": [int(count.sum()), *none], "known": [int((count > 0).sum()), *none],
         })
 
-    asked = table.mapInArrow(ask, "bucket bigint, chunk string, n bigint, hashes binary, count binary")
+    asked = table.select("chunk", "n_words", "hashes", "counts").mapInArrow(ask, "bucket bigint, chunk string, n bigint, hashes binary, count binary")
     answers = materialize(asked.groupBy("bucket").applyInArrow(merge, "chunk string, bucket bigint, n bigint, words binary, counts binary, learned bigint, known bigint"), "numbers")
     sums = answers.agg(F.sum("learned").alias("n"), F.sum("known").alias("v")).first()
     trained, vocabulary = sums["n"] or 0, sums["v"] or 0
@@ -417,8 +461,9 @@ def _coded(table: DataFrame, m: Model, total: int) -> tuple[DataFrame, int, int]
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held, sizes, distinct, which = words(batch, i)
-                said = sorted(batch.column("said")[i].as_py(), key=lambda x: x["bucket"])
+                cell = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
+                sizes, which = np.frombuffer(cell("sizes"), np.int64), C.unplanes(cell("tokens"), np.uint32, cell("n"))
+                said = sorted(cell("said"), key=lambda x: x["bucket"])
                 number = np.concatenate([C.unplanes(x["words"], np.uint64, x["n"]) for x in said])
                 count = np.concatenate([C.unplanes(x["counts"], np.int64, x["n"]) for x in said])
                 order = np.argsort(number, kind="stable")  # common words first
@@ -427,11 +472,11 @@ def _coded(table: DataFrame, m: Model, total: int) -> tuple[DataFrame, int, int]
                 first, seen = np.cumsum(sizes) - sizes, count[which]
                 base = np.add.reduceat(np.log10((seen + 0.1) / (trained + 0.1 * (vocabulary + 1))), first)
                 yield C.record({
-                    "chunk": [batch.column("chunk")[i].as_py()], "docs": [np.array(ids, np.int64).tobytes()], "held": [np.packbits(held).tobytes()], "sizes": [sizes.tobytes()], "base": [base.tobytes()],
+                    "chunk": [cell("chunk")], "docs": [cell("docs")], "held": [cell("held")], "sizes": [cell("sizes")], "base": [base.tobytes()],
                     "known": [np.add.reduceat((seen > 0).astype(np.int64), first).tobytes()], "n": [len(which)], "tokens": [C.planes(rank[which])], "n_words": [len(order)], "words": [C.planes(number[order])], "counts": [C.planes(count[order])],
                 }, _CODED)
 
-    coded = materialize(C.answered(table, answers.select("chunk", "bucket", "n", "words", "counts"), "words").mapInArrow(code, _CODED_DDL), "coded")
+    coded = materialize(C.answered(table.select("chunk", "docs", "held", "sizes", "n", "tokens"), answers.select("chunk", "bucket", "n", "words", "counts"), "words").mapInArrow(code, _CODED_DDL), "coded")
     drop_table(answers)
     return coded, trained, vocabulary
 
@@ -454,7 +499,8 @@ def _send(coded: DataFrame, trained: int, starts: int, n: int, pairs: bool) -> D
                     at, which, some = _numbered(_mix(_context(x["v"], x["kind"]) * _ODD ^ _mix(x["w"])))
                     use, count = np.bincount(which, minlength=some).astype(np.uint32), count[use > 0][at]
                     x = {k: a[at] for k, a in x.items()}
-                order = np.argsort(x["bucket"], kind="stable")
+                # Pairs lie by context, tokens of a bucket in the text's order.
+                order = np.argsort(x["context"]) if pairs else np.argsort(x["bucket"], kind="stable")
                 x, use, count = {k: a[order] for k, a in x.items()}, use[order], count[order]
                 edge = np.searchsorted(x["bucket"], np.arange(n + 1))
                 out = {f.name: [] for f in _SENT}
@@ -475,11 +521,12 @@ def _opened(rows: list[dict], column: str, kind: type) -> np.ndarray:
 
 def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    table = C.build(docs, doc_id, text)
-    total = table.agg(F.sum("n_bytes")).first()[0] or 0
-    coded, trained, vocabulary = _coded(table, m, total)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    table = _hashed(own, m, total)
+    coded, trained, vocabulary = _coded(table, total)
     drop_table(table)
-    starts = docs.select(F.col(doc_id)).where(F.col(doc_id).isNotNull() & (F.crc32(F.col(doc_id).cast("string").cast("binary")) % m.folds != 0)).count()
+    starts = own.where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % m.folds != 0)).count()
     n = C.buckets(total, C.grown(total, 8 << 20, 16 << 20))
 
     def first(group: pa.Table) -> pa.Table:
@@ -555,7 +602,7 @@ def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str
         draw = np.random.default_rng([m.seed, 3, rows[0]["bucket"]])
         two, mean = m.two, 0.0
         for k in range(m.burn + m.samples):
-            own.sweep(one, two, base, less, draw)
+            own.sweep(one, two, base, less, draw, k % 2)
             two = sampled(own.two.sums(two, draw), draw) if m.sample_priors else two
             if k >= m.burn:
                 mean = mean + own.predictive(one, two, base) / m.samples
@@ -565,7 +612,7 @@ def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str
         for r, a, z in zip(rows, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             doc = np.cumsum(C.unplanes(r["doc"], np.int64, r["n"]))
             first = np.flatnonzero(np.diff(doc, prepend=-1))
-            for c, x in (("chunk", r["chunk"]), ("bucket", r["bucket"]), ("n", len(first)), ("docs", C.planes(doc[first].astype(np.uint32))), ("sums", C.packed(np.add.reduceat(logs[a:z], first)))):
+            for c, x in (("chunk", r["chunk"]), ("bucket", r["bucket"]), ("n", len(first)), ("docs", C.planes(doc[first].astype(np.uint32))), ("sums", C.planes(np.rint(np.add.reduceat(logs[a:z], first) * UNIT).astype(np.int64)))):
                 out[c].append(x)
         return pa.table([pa.array(out[c], t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=list(out))
 
@@ -582,7 +629,7 @@ def score(docs: DataFrame, m: Model = Model(), doc_id: str = "doc_id", text: str
                 ids, sizes = np.frombuffer(cell("docs"), np.int64), np.frombuffer(cell("sizes"), np.int64)
                 points = np.zeros(len(ids))
                 for x in sorted(cell("said"), key=lambda x: x["bucket"]):
-                    points[C.unplanes(x["docs"], np.uint32, x["n"])] += C.unpacked(x["sums"], np.float64, x["n"])
+                    points[C.unplanes(x["docs"], np.uint32, x["n"])] += C.unplanes(x["sums"], np.int64, x["n"]) / UNIT
                 yield C.record({
                     "doc_id": [None if d == C.NO_ID else d for d in ids.tolist()], "held_out": np.unpackbits(np.frombuffer(cell("held"), np.uint8), count=len(ids)).astype(bool).tolist(), "n_tokens": sizes.tolist(),
                     "n_known": np.frombuffer(cell("known"), np.int64).tolist(), "train_tokens": [trained] * len(ids), "base_score": np.frombuffer(cell("base"), np.float64).tolist(), "score": points.tolist(), "perplexity": (10 ** np.minimum(-points / sizes, 300)).tolist(),
