@@ -23,8 +23,9 @@ def softplus(x: Column, strict: bool = True) -> Column:
 
 
 def softplus_inverse(x: Column, strict: bool = True) -> Column:
-    """log(exp(x) - 1) of positive x."""
-    return _within(x, math.exp(-LIMIT), LIMIT, F.log(F.expm1(x)), strict, F.log(x), x)
+    """log(exp(x) - 1) of positive x; if not strict also its limit at 0, and NaN below: Spark's log() has nulls there."""
+    low = F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(F.log(x))
+    return _within(x, math.exp(-LIMIT), LIMIT, F.log(F.expm1(x)), strict, low, x)
 
 
 def softplus_gradient(x: Column, strict: bool = True) -> Column:

@@ -1,5 +1,7 @@
 """Every query of the catalogue against its SQL, on the smallest tables."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -28,3 +30,14 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES.keys() - catalogue.ORACLES.keys()))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_softplus_inv_outside(spark, tmp_path):
+    """Events of value 0 and below, without a value and past the cap, against the SQL."""
+    values = [0.0, -0.0, -1.0, -math.inf, 0.01, 5.0, 600.0, 1e300, math.inf, math.nan, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(repr(tuple(r)) for r in catalogue.QUERIES["softplus_inv"](spark, str(tmp_path)).select("event_id", "v").collect())
+    assert got == sorted(repr(r) for r in con.sql(f"select event_id, v from ({catalogue.ORACLES['softplus_inv']})").fetchall())
+    assert "(0, -inf)" in got and "(2, nan)" in got

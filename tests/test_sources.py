@@ -52,6 +52,15 @@ def test_scalars(spark):
         frame.select(S.softplus(F.col("x"))).collect()
 
 
+def test_softplus_inverse_limits(spark):
+    """Strict: an error at 0. Else the limit at 0, NaN below, and null only of null."""
+    frame = spark.createDataFrame([(x,) for x in (0.0, -1.0, 1e-20, 50.0, None)], "x double").coalesce(1)
+    zero, below, tiny, large, none = (r[0] for r in frame.select(S.softplus_inverse(F.col("x"), strict=False)).collect())
+    assert zero == -np.inf and np.isnan(below) and tiny == pytest.approx(np.log(1e-20)) and large == 50.0 and none is None
+    with pytest.raises(Exception, match="outside"):
+        frame.where("x = 0").select(S.softplus_inverse(F.col("x"))).collect()
+
+
 def test_stream(spark, tmp_path):
     p = Params(np.array([[-0.5], [0.5]]), 1.0, np.ones(1), 1.0)
     rows = tables.generate(spark, 60).select("y", F.array(F.get("y", F.lit(0))).alias("mu"), F.array(F.lit(0.3)).alias("s"))
