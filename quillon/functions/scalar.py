@@ -22,10 +22,15 @@ def softplus(x: Column, strict: bool = True) -> Column:
     return _within(x, -LIMIT, LIMIT, F.log1p(F.exp(x)), strict, F.exp(x), x)
 
 
-def softplus_inverse(x: Column, strict: bool = True) -> Column:
-    """log(exp(x) - 1) of positive x; if not strict also its limit at 0, and NaN below: Spark's log() has nulls there."""
-    low = F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(F.log(x))
-    return _within(x, math.exp(-LIMIT), LIMIT, F.log(F.expm1(x)), strict, low, x)
+def _log(x: Column) -> Column:
+    """log(x), with -inf at 0 and NaN below: Spark's log() has nulls there."""
+    return F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(F.log(x))
+
+
+def softplus_inverse(x: Column, strict: bool = True, plain: bool = False) -> Column:
+    """log(exp(x) - 1) of positive x; if not strict also its limit at 0, and NaN below. plain: exp(x) - 1 is taken as it stands, as in SQL, without the digits of a small x that it loses."""
+    y = F.when(F.abs(x) < 0.1, F.expm1(x) + 1).otherwise(F.exp(x)) - 1 if plain else F.expm1(x)  # exp(x) itself is less often the nearest double
+    return _within(x, math.exp(-LIMIT), LIMIT, _log(y), strict, _log(y if plain else x), x)
 
 
 def softplus_gradient(x: Column, strict: bool = True) -> Column:
@@ -36,6 +41,14 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """round(x * 10**digits) / 10**digits in doubles, halves away from 0, as in DuckDB. F.round goes by the shortest decimal digits instead, and makes -0.0 of small negative numbers 0.0."""
+    y = F.abs(x) * 10.0**digits
+    whole = F.floor(y).cast("double")
+    size = F.when(y < 2.0**52, (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits).otherwise(F.abs(x))
+    return F.when(x < 0, -size).otherwise(size)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

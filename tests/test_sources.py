@@ -1,6 +1,7 @@
 import datetime
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,14 @@ def test_softplus_inverse_limits(spark):
         frame.where("x = 0").select(S.softplus_inverse(F.col("x"))).collect()
 
 
+def test_rounded(spark):
+    """Halves, zeros of either sign, large numbers and those that aren't finite, against DuckDB's round()."""
+    values = [0.0, 5e-07, -5e-07, -4e-07, 4.9999999999999994e-07, 1.0000005, -2.5, 123.4567895, 1e15, 1e300, np.inf, -np.inf, np.nan, None]
+    frame = spark.createDataFrame(list(enumerate(values)), "i long, x double").coalesce(1)
+    got = [repr(r[0]) for r in frame.orderBy("i").select(S.rounded(F.col("x"), 6)).collect()]
+    assert got == [repr(duckdb.execute("select round(?::double, 6)", [x]).fetchone()[0]) for x in values]
+
+
 def test_stream(spark, tmp_path):
     p = Params(np.array([[-0.5], [0.5]]), 1.0, np.ones(1), 1.0)
     rows = tables.generate(spark, 60).select("y", F.array(F.get("y", F.lit(0))).alias("mu"), F.array(F.lit(0.3)).alias("s"))
